@@ -40,6 +40,8 @@ _ATTEMPTS = 4096
 _DENSE_CELLS = 16_000_000
 #: A task of small clusters holds about this many documents.
 _GROUP = 1500
+#: The largest node bitmap (16 MB): more nodes only let more other texts through to the join.
+FILTER_BITS = 1 << 27
 
 
 def shingle_sets(texts, width: int = WIDTH) -> list[np.ndarray]:
@@ -118,6 +120,36 @@ def _sketch_rows(width: int):
     return run
 
 
+def _node_filter(clusters: DataFrame, n: int) -> bytes:
+    """A bitmap of hashed node ids, 16 bits a node and FILTER_BITS at most, packed by Spark's bitmap aggregate."""
+    bits = min(FILTER_BITS, 1 << max(15, (16 * n).bit_length()))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = (mix64(b["node"].to_numpy().astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+            yield pd.DataFrame({"block": at >> 15, "bit": at & 32767})
+
+    blocks = clusters.select("node").mapInPandas(place, "block bigint, bit bigint").groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in blocks.collect():
+        out[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out.tobytes()
+
+
+def _maybe(filtered) -> object:
+    """Keep the rows whose doc_id the bitmap holds: all nodes and a few others, which the join drops."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.frombuffer(filtered.value, dtype=np.uint8)
+        for b in batches:
+            b = b[b["doc_id"].notna()]
+            at = (mix64(b["doc_id"].to_numpy().astype(np.int64).astype(np.uint64)) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            yield pd.DataFrame({"node": b["doc_id"].to_numpy().astype(np.int64)[hit == 1], "text": b["text"].to_numpy()[hit == 1]})
+
+    return run
+
+
 def _set_rows(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -219,15 +251,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> D
     classes = usable.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"))
     # one row of a class has its bands: the sketch follows from the set
     heads = usable.join(classes.select(F.col("node").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    keys = heads.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key")).distinct()
+    keys = heads.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub")
-    stars = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    stars = keys.hint("merge").join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     clusters, _ = stored(components(stars, "clusters").withColumnRenamed("component", "cluster"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    members = docs.select(F.col("doc_id").alias("node"), "text").join(clusters, "node")
+    total = clusters.count()
+    nodes = spark.sparkContext.broadcast(_node_filter(clusters, total))
+    members = docs.select("doc_id", "text").mapInPandas(_maybe(nodes), "node bigint, text string").hint("merge").join(clusters, "node")
     sets, _ = stored(members.mapInPandas(_set_rows(width), "node bigint, cluster bigint, members binary"), "sets")
     tiled = sets.join(sizes, "cluster").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-    total = clusters.count()
     bins = max(1, total // _GROUP)
     one = tiled.where("tiles = 1").select("node", "cluster", "members", "tile", F.lit(-1).alias("i"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("bigint").alias("j"), F.lit(0).cast("bigint").alias("of"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
