@@ -17,7 +17,6 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fingerprint.fingerprint_pairs(table(spark, sf_dir, "documents"))
     own, edited = fingerprint.hashes(F.col("kept")), fingerprint.hashes(F.col("edited_kept"))
-    df = fingerprint.with_fingerprint(df, "next_text", "next_kept")
     return df.select(
         "doc_id",
         "n_chars",
@@ -56,7 +55,9 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "warc")
-    return warc.read_archives(spark, root, warc.write_archives(table(spark, sf_dir, "pages"), root))
+    # all archives are complete before the first is read, and no task holds a writer and a reader
+    files, _ = stored(warc.write_archives(table(spark, sf_dir, "pages"), root), "archives")
+    return warc.read_archives(spark, root, files.repartition(max(1, min(files.count(), 10_000)), "path"))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 A file starts with a skippable frame (magic 0x184D2A5D) that holds a Zstandard
 dictionary, itself compressed; every record follows as a frame of its own, so a reader can start
 at any record once it has the dictionary. The dictionary is trained once on a bounded, keyed sample of
-the archived payloads (``SAMPLE_ROWS`` rows of at most ``SAMPLE_BYTES`` each).
+the archived payloads (about ``SAMPLE_ROWS`` rows of at most ``SAMPLE_BYTES`` each).
 
 Equal payloads of at least ``least`` bytes are archived once: the largest ``page_id`` is the
 ``response``, the others are ``revisit`` records that refer to it and carry no payload but its
@@ -129,9 +129,11 @@ def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
 
 def write_archives(pages: DataFrame, root: str, least: int = 0) -> DataFrame:
     """Write ``pages`` as archives below ``root`` (a URI); one row (path, records, bytes) per file."""
-    sample = pages.select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES // 4).alias("html"), F.xxhash64("page_id", "url").alias("h"))
-    # SAMPLE_ROWS rows of bounded length, the same ones in every run
-    raw = train([r["html"].encode() for r in sample.orderBy("h", "html").limit(SAMPLE_ROWS).collect()])
+    n = pages.count()
+    sample = pages.select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES // 4).alias("html"), F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)).alias("h"))
+    # about SAMPLE_ROWS rows of bounded length wherever they lie, the same ones in every run
+    rows = sample.where(F.col("h") <= int((1 << 30) * SAMPLE_ROWS / max(n, 1))).limit(2 * SAMPLE_ROWS).collect()
+    raw = train([html.encode() for _, html in sorted((r["h"], r["html"]) for r in rows)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = pafs.FileSystem.from_uri(root)
