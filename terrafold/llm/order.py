@@ -1,17 +1,22 @@
 """Training-order materialisation: a keyed Feistel permutation gives every sequence a global slot.
 
 Texts become byte-pair ids and fixed-length sequences of ``SEQ_LEN`` ids (the end-of-text id
-closes a document and fills its last sequence). Sequences are numbered 0..n-1 without a
-global sort (counts of fixed ranges of documents give each range its offset) and the permutation, which any
-reader can compute, sends each number to its slot. Slots are dealt out in ranges, one shard
-each; a task sorts its shards' sequences and writes fixed-stride little-endian records, so slot s lies in
-shard ``s // per_shard`` at byte ``(s % per_shard) * stride`` and a reader can resume
-anywhere. A shard is written under a private name and renamed when complete; shards that are
-there with the right length are not written again.
+closes a document and fills its last sequence). How many sequences a text gives is known
+only once it is encoded, but never more than its bytes allow, so each input partition owns a range of
+``sum(ceil((bytes + 1) / SEQ_LEN))`` numbers and counts its sequences from the range's start; the
+cycle-walking permutation of all numbers scatters them. Each range of ``per_shard`` permuted numbers
+is a shard: one task sorts its sequences and writes fixed-stride little-endian records. The
+global slot is the place in shards taken in order: numbers that no sequence uses leave no gap, texts are encoded
+once, and sequences move in one shuffle.
+
+A shard is written under a private name and renamed when complete, so one that is there is complete and is not
+written again. File sizes over the stride are the manifest: a reader finds any slot from them and reads on
+sequentially.
 
 Defined results: a null text counts as empty; an empty text has no sequence; a table
 without sequences gives no shard. Rows that repeat a doc_id (or have none) are documents of
-their own. Other columns are not read.
+their own. Other columns are not read. The input must be a table (or a plan whose partitions do not change from run to run): a partition that outgrows its
+range is an error.
 """
 
 from __future__ import annotations
@@ -23,68 +28,85 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import stored
+from ._words import chunks
 from .bpe import codec
 from .permute import feistel
 
-SEQ_LEN, PER_SHARD, KEY = 512, 4096, 20_240_601
+SEQ_LEN, PER_SHARD, KEY = 512, 8192, 20_240_601
+MOST_TASKS = 100_000
 END = 50_256
 _DTYPE = np.dtype("<u2")
 
 
-def _sequences(path: str, pattern: str, seq_len: int):
+def _sequences(path: str, pattern: str, seq_len: int, starts: dict[int, tuple[int, int]], n: int, per_shard: int, key: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
+        at, end = starts.get(TaskContext.get().partitionId(), (0, 0))
         for b in batches:
-            rows = []
-            for i, t in zip(b["doc_id"], b["text"], strict=True):
-                if t:
+            for lo, hi in chunks(b["text"].tolist()):
+                docs, parts, used, records = [], [], [], []
+                for i, t in zip(b["doc_id"].iloc[lo:hi], b["text"].iloc[lo:hi], strict=True):
+                    if not t:
+                        continue
                     ids = c.encode(t)
                     flat = np.full(-(-(len(ids) + 1) // seq_len) * seq_len, END, dtype=_DTYPE)
                     flat[: len(ids)] = ids
-                    rows.append((i, len(ids), len(flat) // seq_len, flat.tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_seqs", "ids"]).astype({"doc_id": "Int64"})
+                    for p, r in enumerate(flat.reshape(-1, seq_len)):
+                        docs.append(i)
+                        parts.append(p)
+                        used.append(min(seq_len, max(0, len(ids) - p * seq_len)))
+                        records.append(r.tobytes())
+                if at + len(docs) > end:
+                    raise RuntimeError("the input's partitions changed between two runs")
+                place = feistel(np.arange(at, at + len(docs)), n, key)
+                at += len(docs)
+                yield pd.DataFrame({"shard": place // per_shard, "place": place, "doc_id": pd.array([None if pd.isna(i) else int(i) for i in docs], dtype="Int64"), "part": parts, "n_tokens": used, "record": records})
 
     return run
 
 
-def _write(root: str, n: int, per_shard: int, stride: int):
-    """Write the shards whose rows this task has, sorted by slot; give one row per sequence."""
+def _write(root: str):
+    """Write the shards whose rows this task has, sorted by place; give one row per sequence."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = pafs.FileSystem.from_uri(root)
         store.create_dir(base, recursive=True)
-        now, out, temp, skip = -1, None, "", False
+        now, out, temp, count = -1, None, "", 0
 
         def close() -> None:
             if out is not None:
                 out.close()
-                store.move(temp, f"{base}/shard-{now:08d}.bin")
+                store.move(temp, shard_path(base, now))
 
         for b in batches:
-            shard = (b["slot"] // per_shard).to_numpy()
+            shard = b["shard"].to_numpy()
+            positions = np.zeros(len(b), dtype=np.int64)
             for lo, hi in _runs(shard):
                 if shard[lo] != now:
                     close()
-                    now, out = int(shard[lo]), None
-                    want = (min(n, (now + 1) * per_shard) - now * per_shard) * stride
-                    info = store.get_file_info(f"{base}/shard-{now:08d}.bin")
-                    skip = info.type == pafs.FileType.File and info.size == want
-                    if not skip:
+                    now, out, count = int(shard[lo]), None, 0
+                    if store.get_file_info(shard_path(base, now)).type == pafs.FileType.NotFound:
                         temp = f"{base}/.{uuid.uuid4().hex}"
                         out = store.open_output_stream(temp, compression=None)
-                if not skip:
-                    for r in b["record"].iloc[lo:hi]:
-                        out.write(r)
-            yield pd.DataFrame({"slot": b["slot"], "shard": shard, "offset": (b["slot"] % per_shard) * stride, "doc_id": b["doc_id"].array, "part": b["part"], "n_tokens": b["used"], "record_sha256": [hashlib.sha256(r).hexdigest() for r in b["record"]]})
+                if out is not None:
+                    out.write(b"".join(b["record"].iloc[lo:hi]))
+                positions[lo:hi] = np.arange(count, count + hi - lo)
+                count += hi - lo
+            yield pd.DataFrame({"shard": shard, "position": positions, "doc_id": b["doc_id"].array, "part": b["part"], "n_tokens": b["n_tokens"], "record_sha256": [hashlib.sha256(r).hexdigest() for r in b["record"]]})
         close()
 
     return run
 
 
+def shard_path(base: str, shard: int) -> str:
+    return f"{base}/shard-{shard:010d}.bin"
+
+
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
     cuts = np.flatnonzero(np.diff(values)) + 1
     return list(zip([0, *cuts], [*cuts, len(values)], strict=True)) if len(values) else []
@@ -93,55 +115,35 @@ def _runs(values: np.ndarray) -> list[tuple[int, int]]:
 def materialise(docs: DataFrame, root: str, path: str, pattern: str, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
     """Write the shards of ``docs`` below ``root`` (a URI) and return one row per sequence.
 
-    ``(slot, shard, offset, doc_id, part, n_tokens, record_sha256)``. The rows come from the tasks that write.
+    ``(slot, shard, position, doc_id, part, n_tokens, record_sha256)``: sequence ``slot`` is record ``position`` of its shard.
     """
-    spark = docs.sparkSession
-    stride = seq_len * _DTYPE.itemsize
-    encoded = docs.select("doc_id", "text").mapInPandas(_sequences(path, pattern, seq_len), "doc_id bigint, n_tokens bigint, n_seqs int, ids binary")
-    # a file of this table is a range of documents whose order no longer changes
-    rows, _ = stored(encoded.withColumn("seen", F.monotonically_increasing_id()), "sequences")
-    rows = rows.withColumn("range", F.shiftrightunsigned("seen", 33))
-    ranges = rows.groupBy("range").agg(F.sum("n_seqs").alias("n")).orderBy("range").collect()
-    starts = np.concatenate([[0], np.cumsum([r["n"] for r in ranges])]).astype(int)
-    n = int(starts[-1])
-    offsets = spark.createDataFrame([(r["range"], int(s)) for r, s in zip(ranges, starts[:-1], strict=True)], "range bigint, offset bigint")
-    groups = Window.partitionBy("range").orderBy("seen").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = rows.select("seen", "range", "n_seqs").withColumn("first", F.coalesce(F.sum("n_seqs").over(groups), F.lit(0))).join(F.broadcast(offsets), "range").select("seen", (F.col("first") + F.col("offset")).alias("first"))
-
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            at = 0
-            while at < len(b):  # a few megabytes of sequences at a time
-                end = at + 1
-                size = len(b["ids"].iloc[at])
-                while end < len(b) and size < 4_000_000:
-                    size += len(b["ids"].iloc[end])
-                    end += 1
-                p = b.iloc[at:end]
-                times = p["n_seqs"].to_numpy()
-                part = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0, dtype=int)
-                first = np.repeat(p["first"].to_numpy(), times)
-                records = [x[i : i + stride] for x in p["ids"] for i in range(0, len(x), stride)]
-                used = np.clip(np.repeat(p["n_tokens"].to_numpy(), times) - part * seq_len, 0, seq_len)
-                yield pd.DataFrame({"slot": feistel(first + part, n, key), "doc_id": p["doc_id"].array.repeat(times), "part": part, "used": used, "record": records})
-                at = end
-
-    slots = rows.join(numbered, "seen").mapInPandas(spread, "slot bigint, doc_id bigint, part bigint, used bigint, record binary")
+    docs = docs.select("doc_id", "text")
+    most = F.when(F.octet_length("text") > 0, F.ceil((F.octet_length("text") + 1) / seq_len)).otherwise(0)
+    # one number per input partition
+    ranges = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(most).alias("n")).orderBy("p").collect()
+    ends = np.cumsum([r["n"] for r in ranges]).tolist()
+    starts = {r["p"]: (int(e - r["n"]), int(e)) for r, e in zip(ranges, ends, strict=True)}
+    n = int(ends[-1]) if ends else 0
+    rows = docs.mapInPandas(_sequences(path, pattern, seq_len, starts, n, per_shard, key), "shard bigint, place bigint, doc_id bigint, part bigint, n_tokens bigint, record binary")
     shards = max(1, -(-n // per_shard))
-    slots = slots.withColumn("shard", F.floor(F.col("slot") / per_shard)).repartitionByRange(shards, "shard").sortWithinPartitions("slot").drop("shard")
-    schema = "slot bigint, shard bigint, offset bigint, doc_id bigint, part bigint, n_tokens bigint, record_sha256 string"
-    return slots.mapInPandas(_write(root, n, per_shard, stride), schema)
+    written = rows.repartition(min(shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "place").mapInPandas(_write(root), "shard bigint, position bigint, doc_id bigint, part bigint, n_tokens bigint, record_sha256 string")
+    done, _ = stored(written, "slots")
+    counts = done.groupBy("shard").agg(F.count(F.lit(1)).alias("m"))
+    # a row a shard
+    first = counts.select("shard", (F.sum("m").over(Window.orderBy("shard")) - F.col("m")).alias("first"))
+    return done.join(first, "shard").select((F.col("first") + F.col("position")).alias("slot"), "shard", "position", "doc_id", "part", "n_tokens", "record_sha256")
 
 
-def read_slots(root: str, first: int, last: int, seq_len: int = SEQ_LEN, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
-    """Sequences of slots ``first..last-1``, read in order from the shards."""
+def read_slots(root: str, first: int, last: int, seq_len: int = SEQ_LEN) -> Iterator[np.ndarray]:
+    """Sequences of slots ``first..last-1``, read in order; a reader can stop and go on at any slot."""
     store, base = pafs.FileSystem.from_uri(root)
     stride = seq_len * _DTYPE.itemsize
-    at = first
-    while at < last:
-        shard, skip = divmod(at, per_shard)
-        n = min(last, (shard + 1) * per_shard) - at
-        with store.open_input_file(f"{base}/shard-{shard:08d}.bin") as f:
-            raw = f.read_at(n * stride, skip * stride)
-        yield from np.frombuffer(raw, dtype=_DTYPE).reshape(-1, seq_len)
-        at += n
+    files = sorted((f.path, f.size // stride) for f in store.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".bin"))
+    begin = 0
+    for name, n in files:
+        lo, hi = max(first, begin), min(last, begin + n)
+        if lo < hi:
+            with store.open_input_file(name) as f:
+                raw = f.read_at((hi - lo) * stride, (lo - begin) * stride)
+            yield from np.frombuffer(raw, dtype=_DTYPE).reshape(-1, seq_len)
+        begin += n
