@@ -214,4 +214,4 @@ CAPTIONS = r"""captions AS (
 
 
 def q6(expr: str) -> str:
-    return f"round_even(({expr}) * 1e6, 0) / 1e6 + 0"
+    return f"floor(({expr}) * 1e6 + 0.5003) / 1e6"
