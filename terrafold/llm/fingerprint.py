@@ -96,14 +96,14 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
 
 
-def with_next(docs: DataFrame, rows_per_group: int = 512, most_groups: int = 65536) -> DataFrame:
-    """Add ``next_text``, the text of the next document by ``doc_id`` (after the last: the first).
+def with_next(docs: DataFrame, carry: tuple[str, ...] = ("text",), rows_per_group: int = 512, most_groups: int = 65536) -> DataFrame:
+    """Add ``next_<column>`` of the next document by ``doc_id`` (after the last: the first) for every column of ``carry``.
 
     ``doc_id`` is cut into ranges at approximate quantiles (at most ``most_groups``
     numbers on the driver), each range is one window group, and the first document of a range
     also stands, marked, at the end of the range before. Texts move in one shuffle.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", *carry)
     n, low = docs.agg(F.count("doc_id"), F.min("doc_id")).first()
     groups = max(1, min(most_groups, n // rows_per_group))
     bounds = [low]
@@ -123,22 +123,20 @@ def with_next(docs: DataFrame, rows_per_group: int = 512, most_groups: int = 655
     starts = F.array_contains(F.element_at(own, F.ceil(F.col("own_range") / width).cast("int")), F.col("doc_id"))
     before = F.when(F.col("own_range") == 1, len(bounds)).otherwise(F.col("own_range") - 1)
     copies = F.when(starts, F.array(F.struct(F.col("own_range").alias("r"), F.lit(False).alias("mark")), F.struct(before.alias("r"), F.lit(True).alias("mark")))).otherwise(F.array(F.struct(F.col("own_range").alias("r"), F.lit(False).alias("mark"))))
-    rows = docs.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", "c.r", "c.mark")
+    rows = docs.select("doc_id", *carry, F.explode(copies).alias("c")).select("doc_id", *carry, "c.r", "c.mark")
     order = Window.partitionBy("r").orderBy("mark", F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return rows.withColumn("next_text", F.lead("text").over(order)).where("not mark").drop("r", "mark")
+    return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry}).where("not mark").drop("r", "mark")
 
 
 def fingerprint_pairs(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """Fingerprints of every text, of its edited text and of the next document.
+    """Every text's fingerprint ``kept``, its edited text's ``edited_kept`` and the next document's ``next_kept``.
 
-    The edited text replaces the last half of the code points by as many (or all) from the start of the next
+    A text is fingerprinted once and its entries travel with it to the document before. The edited text replaces the last half of the code points by as many (or all) from the start of the next
     document.
     """
-    df = with_next(docs)
+    df = with_next(with_fingerprint(docs.select("doc_id", "text"), "text", "kept", k, w), ("text", "kept"))
     df = df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("next_text", F.coalesce("next_text", F.lit("")))
     df = df.withColumn("n_chars", F.char_length("text").cast("bigint"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
-    df = with_fingerprint(df, "text", "kept", k, w)
-    df = with_fingerprint(df, "edited", "edited_kept", k, w)
-    return df
+    return with_fingerprint(df, "edited", "edited_kept", k, w)
