@@ -159,7 +159,9 @@ def knn_edges(nodes: DataFrame, k: int = 8, farthest: float | None = None, posit
             best = np.argsort(dist, axis=1, kind="stable")[:, :take]
             rows = np.repeat(np.arange(lo, lo + len(dist)), take)
             parts.append(pd.DataFrame({FRAME: key[0], "src": ids[rows], "dst": ids[best.reshape(-1)], "dist": np.take_along_axis(dist, best, 1).reshape(-1)}))
-        return pd.concat(parts) if parts else pd.DataFrame({FRAME: [], "src": [], "dst": [], "dist": []})
+        if parts:
+            return pd.concat(parts, ignore_index=True)
+        return pd.DataFrame({FRAME: np.zeros(0, dtype=object), "src": np.zeros(0, dtype=np.int64), "dst": np.zeros(0, dtype=np.int64), "dist": np.zeros(0)})
 
     kind = nodes.schema[FRAME].dataType.simpleString()
     out = nodes.select(FRAME, F.col("sp_id").cast("bigint").alias("sp_id"), *position).groupBy(FRAME).applyInPandas(run, f"frame_id {kind}, src bigint, dst bigint, dist double")

@@ -86,7 +86,7 @@ def intrinsics(spark: SparkSession, path: str) -> DataFrame:
 
 def frame_at(infos: DataFrame, files: DataFrame, index: int) -> DataFrame:
     """The ``index``-th info with its LiDAR and label files: the first paths whose name starts with its stamp."""
-    row = infos.where(F.col("place") == index).withColumn("stamp", F.regexp_replace("OriginalImageName", r"\.[^.]*$", ""))
+    row = infos.where(F.col("place") == index).drop("path").withColumn("stamp", F.regexp_replace("OriginalImageName", r"\.[^.]*$", ""))
     near = row.join(files, F.col("name").startswith(F.concat(F.lit("image"), F.col("stamp"), F.lit("_lidar"))), "left")
     return near.groupBy("place", "stamp").agg(F.min(F.when(~F.col("name").contains("label"), F.col("path"))).alias("lidar"), F.min(F.when(F.col("name").contains("label"), F.col("path"))).alias("label"))
 
