@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import EPS, MASKED
 from .geometry import undirected
-from .segment import argmax
 
 FRAME = "frame_id"
 SEGMENT = ["frame_id", "sp_id"]

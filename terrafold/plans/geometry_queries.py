@@ -230,9 +230,6 @@ def smooth_and_stretch(spark, sf):
     return rounded(project.stretch_contrast(project.gaussian_smooth(_z_raster(spark, sf), "value", 1.0, 1), "value"), "value")
 
 
-_TAPS = """taps AS (SELECT i, n_in, w FROM (SELECT i, n_in, floor(a)::INTEGER AS src, 1 - (a - floor(a)) AS w FROM t UNION ALL SELECT i, n_in, least(floor(a)::INTEGER + 1, n_in - 1), a - floor(a) FROM t) WHERE w > 0)"""
-
-
 @query(f"""WITH {fx.RASTER}, t AS (SELECT i, n_in, least(greatest((i + 0.5) * n_in / n_out - 0.5, 0), n_in - 1)::DOUBLE AS a FROM (SELECT unnest(range(6)) AS i, 24 AS n_in, 6 AS n_out UNION ALL SELECT unnest(range(7)), 30, 7)),
 taps AS (SELECT i, n_in, floor(a)::INTEGER AS src, 1 - (a - floor(a)) AS w FROM t UNION ALL SELECT i, n_in, least(floor(a)::INTEGER + 1, n_in - 1), a - floor(a) FROM t)
 SELECT term, y.i::INTEGER AS row, x.i::INTEGER AS col, {r6('sum(score * y.w * x.w)')} AS score FROM raster r JOIN taps y ON y.n_in = 30 AND y.src = r.row AND y.w > 0 JOIN taps x ON x.n_in = 24 AND x.src = r.col AND x.w > 0 GROUP BY ALL""")

@@ -3,7 +3,6 @@
 import itertools
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,5 +220,3 @@ def test_smoke_scene_is_mostly_visible(spark):
     centers = geometry.superpoint_geometry(scene).select("frame_id", "sp_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
     seen = project.with_projection(centers, x_forward=False, k=[[90, 0, 64], [0, 90, 64], [0, 0, 1]], t=np.eye(4).tolist(), width=128, height=128)
     assert seen.where("valid").count() > 64
-    probs = pd.DataFrame({"a": [0.5, 0.5]})
-    assert np.isfinite(probs.to_numpy()).all()
