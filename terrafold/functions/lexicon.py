@@ -91,3 +91,35 @@ FAMILIES = {
     "object": ["person", "human", "rider", "ship", "harbor", "harbor/ship", "plane", "helicopter"],
     "shadow": ["shadow", "sky"],
 }
+
+# Open terms and the official class they stand for.
+TERM_CLASSES = {
+    "roof": 1, "building": 1, "house": 1, "building roof": 1, "dirt road": 2, "unpaved road": 2, "soil road": 2, "bare ground": 2, "soil": 2,
+    "barren land": 2, "road": 3, "paved road": 3, "asphalt road": 3, "concrete pavement": 3, "concrete road": 3, "river": 4, "water": 4, "pool": 5,
+    "swimming pool": 5, "bridge": 6, "container": 9, "airstrip": 10, "airport runway": 10, "airport surface": 10, "traffic barrier": 11, "barrier": 11,
+    "grass": 13, "green field": 13, "lawn": 13, "farmland": 13, "cropland": 13, "vegetation": 14, "tree": 14, "forest": 14, "wild field": 14,
+    "solar panel": 15, "solar board": 15, "umbrella": 16, "transparent roof": 17, "parking lot": 18, "car park": 18, "paved walk": 19, "sidewalk": 19,
+    "walkway": 19, "vehicle": 20, "car": 20, "sedan": 20, "truck": 24, "large vehicle": 24,
+}
+
+# Prompts of terms.
+PROMPT_GROUPS = {
+    "building": ["building", "roof", "house"], "roof": ["roof", "building roof"], "road": ["road", "paved road", "asphalt road", "concrete pavement"],
+    "paved road": ["paved road", "asphalt road", "concrete road"], "dirt road": ["dirt road", "unpaved road", "soil road"],
+    "bare ground": ["bare ground", "soil", "barren land"], "soil": ["soil", "bare ground"], "tree": ["tree", "forest", "vegetation"],
+    "vegetation": ["vegetation", "tree", "forest"], "grass": ["grass", "green field", "lawn"], "farmland": ["farmland", "cropland", "green field"],
+    "parking lot": ["parking lot", "car park"], "vehicle": ["vehicle", "car", "truck"], "car": ["car", "sedan", "vehicle"], "truck": ["truck", "large vehicle"],
+    "water": ["water", "river"], "river": ["river", "water"], "pool": ["pool", "swimming pool", "water"], "bridge": ["bridge"], "container": ["container"],
+    "traffic barrier": ["traffic barrier", "barrier"], "airport runway": ["airport runway", "airstrip", "airport surface"],
+    "airstrip": ["airstrip", "airport runway"], "solar panel": ["solar panel", "solar board"], "solar board": ["solar board", "solar panel"],
+    "umbrella": ["umbrella"], "transparent roof": ["transparent roof"], "sidewalk": ["sidewalk", "paved walk", "walkway"],
+    "paved walk": ["paved walk", "sidewalk", "walkway"],
+}
+
+# Tags of a frame without usable ones, and tags that every frame gets last.
+FALLBACK_TAGS = ["building", "roof", "road", "vegetation", "grass", "bare ground", "vehicle", "parking lot"]
+CORE_TAGS = [
+    "roof", "building", "road", "paved road", "dirt road", "bare ground", "vegetation", "tree", "grass", "farmland", "parking lot", "water", "river", "pool",
+    "bridge", "container", "airstrip", "airport runway", "traffic barrier", "solar panel", "solar board", "umbrella", "transparent roof", "sidewalk",
+    "paved walk", "vehicle", "car", "truck",
+]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lexicon import GT_EXPANSION
+from ..functions.lexicon import CORE_TAGS, FALLBACK_TAGS, GT_EXPANSION, PROMPT_GROUPS, TERM_CLASSES
 from ..functions.numeric import EPS
 from ..functions.text import normalize_term, phrase_candidates, prompts_for, rs_tags, simple_clean
 
@@ -82,6 +82,22 @@ def merge_terms(first: DataFrame, second: DataFrame) -> DataFrame:
     return low.select("frame_id", "term", (F.row_number().over(Window.partitionBy("frame_id").orderBy("p")) - 1).alias("pos"))
 
 
+def harvest_tags(frames: DataFrame, tags: DataFrame, max_tags: int) -> DataFrame:
+    """(frame_id, term, prompts, rank): a frame's usable tags by ``pos``, or the fallback ones, then the core tags, each once.
+
+    ``tags`` is (frame_id, pos, term); a tag is usable if it has a class or prompts.
+    """
+    known = sorted({*TERM_CLASSES, *PROMPT_GROUPS})
+    own = tags.select("frame_id", simple_clean(F.col("term")).alias("term"), F.struct(F.lit(0), F.col("pos").cast("bigint")).alias("p")).where(F.col("term").isin(known))
+    listed = lambda names, place: F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.struct(F.lit(place), F.lit(i).cast("bigint")).alias("p")) for i, t in enumerate(names)])).alias("t")
+    spare = frames.select("frame_id").join(own.select("frame_id").distinct(), "frame_id", "left_anti").select("frame_id", listed(FALLBACK_TAGS, 1)).select("frame_id", "t.*")
+    core = frames.select("frame_id", listed([t for t in CORE_TAGS if t in known], 2)).select("frame_id", "t.*")
+    first = own.unionByName(spare).unionByName(core).groupBy("frame_id", "term").agg(F.min("p").alias("p"))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("frame_id").orderBy("p"))).where(F.col("rank") <= max_tags)
+    table = F.create_map(*[x for k, v in PROMPT_GROUPS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return ranked.select("frame_id", "term", F.coalesce(table[F.col("term")], F.array("term")).alias("prompts"), "rank")
+
+
 def caption_frequency(terms: DataFrame, candidates: DataFrame) -> DataFrame:
     """(frame_id, term, caption_freq): each candidate's share of the frame's term occurrences, 0 if unseen."""
     counts = terms.groupBy("frame_id", "term").agg(F.count(F.lit(1)).alias("n"))

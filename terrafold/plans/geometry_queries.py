@@ -489,6 +489,12 @@ def describe_clusters(spark, sf):
     return graph.describe_clusters(n).select("frame_id", "cluster", "segments", "points", "name", "rank")
 
 
+@query()
+def local_global_features(spark, sf):
+    n = fx.nodes(spark, sf).join(geometry.segment_rgb(fx.segmented(spark, sf)), SEGMENT)
+    return procedural.local_global_features(n, rgb=True)
+
+
 @query()
 def kmeans_baseline(spark, sf):
     return procedural.kmeans_baseline(fx.nodes(spark, sf).select("frame_id", "sp_id", "cx", "cy", "cz"), ["cx", "cy", "cz"], 6)

@@ -168,6 +168,13 @@ def merge_terms(spark, sf):
     return vocab.merge_terms(p.where("p_size < 30").drop("p_size"), p.where("p_size > 15").drop("p_size"))
 
 
+@query()
+def harvest_tags(spark, sf):
+    c = fx.captions(spark, sf)
+    tags = vocab.caption_phrases(c).select("frame_id", (F.col("caption_idx") * 100_000 + F.col("pos")).alias("pos"), "term")
+    return vocab.harvest_tags(c.select("frame_id").distinct(), tags, 20).withColumn("prompts", F.array_join("prompts", "|"))
+
+
 @query(f"WITH {_LISTS}, n AS (SELECT frame_id, term, count(*) AS n FROM a GROUP BY ALL), t AS (SELECT frame_id, count(*) AS total FROM a GROUP BY ALL), c AS (SELECT DISTINCT frame_id, term FROM b) SELECT frame_id, term, {r6('coalesce(n, 0) / greatest(coalesce(total, 0), 1)')} AS caption_freq FROM c LEFT JOIN n USING (frame_id, term) LEFT JOIN t USING (frame_id)")
 def caption_frequency(spark, sf):
     p = fx.load(spark, sf, "part").select(F.col("p_brand").alias("frame_id"), F.col("p_name").alias("term"), F.col("p_partkey").alias("pos"), "p_size")

@@ -220,3 +220,12 @@ def test_smoke_scene_is_mostly_visible(spark):
     centers = geometry.superpoint_geometry(scene).select("frame_id", "sp_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
     seen = project.with_projection(centers, x_forward=False, k=[[90, 0, 64], [0, 90, 64], [0, 0, 1]], t=np.eye(4).tolist(), width=128, height=128)
     assert seen.where("valid").count() > 64
+
+
+def test_harvested_tags_fall_back_and_fill_up(spark):
+    frames_ = spark.createDataFrame([("a",), ("b",)], "frame_id string")
+    tags = spark.createDataFrame([("a", 1, "Sedan"), ("a", 2, "gizmo"), ("a", 3, "sedan"), ("b", 1, "nothing")], "frame_id string, pos int, term string")
+    got = vocab.harvest_tags(frames_, tags, 10).orderBy("frame_id", "rank").collect()
+    assert [r["term"] for r in got if r["frame_id"] == "a"][:3] == ["sedan", "roof", "building"]
+    b = [r["term"] for r in got if r["frame_id"] == "b"]
+    assert b[:2] == ["building", "roof"] and len(b) == 10 == len(set(b))
