@@ -41,10 +41,23 @@ def drop(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` once and return (the table reread, its path)."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Bytes of an Arrow batch on its way to Python: long texts must not add up to batches of hundreds of megabytes.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound this session's Arrow batches by bytes, where the session has Spark's own default."""
+    if spark.conf.get(_BATCH_KEY) == f"{64 << 20}b":
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

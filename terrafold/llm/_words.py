@@ -6,11 +6,15 @@ occur inside a multi-byte UTF-8 character, so byte runs equal code point runs.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
+#: The C library's way to give free memory back, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 SEPARATORS = b" \t\n\x0b\x0c\r"
 _IS_SEPARATOR = np.zeros(256, dtype=bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
@@ -89,7 +93,17 @@ def spans_of(hashes: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
     return mix64(rolling(values, at, at + length, _SPAN) + np.uint64(length))
 
 
-def chunks(texts: Sequence[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def tidy(batches: Iterator) -> Iterator:
+    """The batches of a task; after each, memory that is free goes back to the system, so idle workers stay small."""
+    for b in batches:
+        yield b
+        del b
+        pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
+
+
+def chunks(texts: Sequence[str | None], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` characters; a longer text is a chunk of its own."""
     begin = size = 0
     for i, t in enumerate(texts):

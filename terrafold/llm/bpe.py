@@ -22,10 +22,13 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from ._words import chunks, tidy
+
 LONG = 4096
 FIRST_WINDOW = 32
 
@@ -121,15 +124,16 @@ def map_texts(docs: DataFrame, schema: str, row: Callable, path: str, pattern: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
         names = [f.strip().split()[0] for f in schema.split(",")]
-        for b in batches:
-            yield pd.DataFrame([row(c, *r) for r in b.itertuples(index=False, name=None)], columns=names)
+        for b in tidy(batches):
+            for lo, hi in chunks(b["text"].tolist()):  # ids of about a million characters at a time
+                yield pd.DataFrame([row(c, *r) for r in b.iloc[lo:hi].itertuples(index=False, name=None)], columns=names)
 
     return docs.select(*columns).mapInPandas(run, schema)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids)`` of every text."""
-    return map_texts(docs, "doc_id bigint, ids array<int>", lambda c, t, i: (i, c.encode(t or "")), path, pattern, ["text", "doc_id"])
+    return map_texts(docs, "doc_id bigint, ids array<int>", lambda c, t, i: (i, np.array(c.encode(t or ""), dtype=np.int32)), path, pattern, ["text", "doc_id"])
 
 
 def _digests(c: Codec, text: str | None, doc_id: int | None) -> tuple:

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._words import tidy
+
 SCALE, TOP, EVERY = 1024, 10, 100
 QUERY_BLOCK, CHUNK, LEAF, QUERY_LEAF = 8192, 4096, 32, 4
 
@@ -156,7 +158,7 @@ def _search(block, k: int):
             points = _matrix(part["v"], queries.shape[1])
             dual_search(queries, query_ids, cover_tree(points), points, part["vec_id"].to_numpy(), own, best)
 
-        for b in batches:
+        for b in tidy(batches):
             for lo in range(0, len(b), CHUNK):
                 held.append(b.iloc[lo : lo + CHUNK])
                 if sum(map(len, held)) >= CHUNK:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import stored
+from ._words import tidy
 from .permute import feistel
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -120,7 +121,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, shards: int
     bounds, counts = starts.T.copy(), [int(b) for b in blocks]
 
     def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidy(batches):
             taken, lists = np.zeros(len(b), dtype=np.int64), [[] for _ in range(len(b))]
             k, size, whole, words, at, h = (b[c].to_numpy() for c in ("k", "size", "source_size", "words", "at", "h"))
             for p in range(MOST_TIMES):

@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._store import stored
-from ._words import chunks, mix64, spans_of, words_of
+from ._words import chunks, mix64, spans_of, tidy, words_of
 
 WIDTH, BANDS, ROWS, TILE = 5, 48, 7, 384
 BINS = BANDS * ROWS
 _VALUE_BITS = 40
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ATTEMPTS = 4096
-_DENSE_CELLS = 16_000_000
+_DENSE_CELLS = 4_000_000
 #: A task of small clusters holds about this many documents.
 _GROUP = 1500
 #: The largest node bitmap (16 MB): more nodes only let more other texts through to the join.
@@ -57,7 +57,7 @@ def shingle_sets(texts, width: int = WIDTH) -> list[np.ndarray]:
 
 def _probes() -> np.ndarray:
     grid = np.arange(_ATTEMPTS * BINS, dtype=np.uint64)
-    return (mix64(grid + np.uint64(0x51ED27)) % np.uint64(BINS)).astype(np.int64).reshape(_ATTEMPTS, BINS)
+    return (mix64(grid + np.uint64(0x51ED27)) % np.uint64(BINS)).astype(np.int16).reshape(_ATTEMPTS, BINS)
 
 
 _PROBES: list[np.ndarray] = []
@@ -104,7 +104,7 @@ def band_keys(sketch: np.ndarray) -> np.ndarray:
 
 def _sketch_rows(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidy(batches):
             texts, ids = b["text"].tolist(), b["doc_id"]
             for lo, hi in chunks(texts):
                 sets = shingle_sets(texts[lo:hi], width)
@@ -125,7 +125,7 @@ def _node_filter(clusters: DataFrame, n: int) -> bytes:
     bits = min(FILTER_BITS, 1 << max(15, (16 * n).bit_length()))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidy(batches):
             at = (mix64(b["node"].to_numpy().astype(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
             yield pd.DataFrame({"block": at >> 15, "bit": at & 32767})
 
@@ -141,7 +141,7 @@ def _maybe(filtered) -> object:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.frombuffer(filtered.value, dtype=np.uint8)
-        for b in batches:
+        for b in tidy(batches):
             b = b[b["doc_id"].notna()]
             at = (mix64(b["doc_id"].to_numpy().astype(np.int64).astype(np.uint64)) & np.uint64(len(bits) * 8 - 1)).astype(np.int64)
             hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
@@ -152,7 +152,7 @@ def _maybe(filtered) -> object:
 
 def _set_rows(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidy(batches):
             texts = b["text"].tolist()
             for lo, hi in chunks(texts):
                 part = b.iloc[lo:hi]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import stored
-from ._words import chunks
+from ._words import chunks, tidy
 from .bpe import codec
 from .permute import feistel
 
@@ -47,7 +47,7 @@ def _sequences(path: str, pattern: str, seq_len: int, starts: dict[int, tuple[in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(path, pattern)
         at, end = starts.get(TaskContext.get().partitionId(), (0, 0))
-        for b in batches:
+        for b in tidy(batches):
             for lo, hi in chunks(b["text"].tolist()):
                 docs, parts, used, records = [], [], [], []
                 for i, t in zip(b["doc_id"].iloc[lo:hi], b["text"].iloc[lo:hi], strict=True):
@@ -83,7 +83,7 @@ def _write(root: str):
                 out.close()
                 store.move(temp, shard_path(base, now))
 
-        for b in batches:
+        for b in tidy(batches):
             shard = b["shard"].to_numpy()
             positions = np.zeros(len(b), dtype=np.int64)
             for lo, hi in _runs(shard):

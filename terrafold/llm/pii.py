@@ -21,7 +21,6 @@ Added spans never overlap a base span or each other. Offsets are code points.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import stored
+from ._words import tidy
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "iban", "local", "name")
@@ -157,7 +157,7 @@ _ROWS = f"doc_id bigint, base array<struct<{_SPAN}>>, more array<struct<{_SPAN},
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in tidy(batches):
         base, more = [], []
         for t in b["text"]:
             t = "" if t is None else t
@@ -269,7 +269,7 @@ def mask(docs: DataFrame) -> DataFrame:
     accepted = frozenset(_accepted(_scanned(docs)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidy(batches):
             b["text"] = [masked(t, accepted) for t in b["text"]]
             yield b
 

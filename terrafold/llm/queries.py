@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, covertree, fingerprint, mixing, neardup, order, pii, substring, toxicity, warc
-from ._store import scratch_path, table
+from ._store import scratch_path, stored, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 

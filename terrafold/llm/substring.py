@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import stored
-from ._words import Words, chunks, mix64, rolling, spans_of, words_of
+from ._words import Words, chunks, mix64, rolling, spans_of, tidy, words_of
 
 WINDOW, GRAM = 20, 5
 MOST_CELLS = 1 << 29
@@ -84,7 +84,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     rows.append((depth, i, int(times[a:b].sum()), packed[a:b].tobytes()))
         yield pd.DataFrame(rows, columns=["depth", "block", "n", "cells"])
 
-    for b in batches:
+    for b in tidy(batches):
         texts = b["text"].where(b["doc_id"].notna(), None).tolist()
         for lo, hi in chunks(texts):
             _, at, grams = anchors(words_of(texts[lo:hi]))
@@ -167,7 +167,7 @@ def _flagged(name: str, sketch, batches: Iterator[pd.DataFrame]) -> Iterator[pd.
         last = np.append(runs[1:], len(at)) - 1
         yield pd.DataFrame({"h": mix64(doc[runs].astype(np.uint64)).view(np.int64), "c": np.zeros(len(runs), dtype=np.int32), "doc_id": doc[runs], "pos": (at[runs] << 32) | (at[last] - at[runs] + 1), "known": True})
 
-    for b in batches:
+    for b in tidy(batches):
         b = b[b["doc_id"].notna()]
         texts, ids = b["text"].tolist(), b["doc_id"].to_numpy(dtype=np.int64)
         for lo, hi in chunks(texts):
@@ -192,7 +192,7 @@ def _flagged(name: str, sketch, batches: Iterator[pd.DataFrame]) -> Iterator[pd.
 def _later(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of rows sorted by (h, c, doc_id, pos), marks: the known ones, and all but the first of equal windows."""
     held = (None, None, None, None)
-    for b in batches:
+    for b in tidy(batches):
         known = b["known"].to_numpy(dtype=bool)
         doc, pos = b["doc_id"].to_numpy(), b["pos"].to_numpy()
         new = np.flatnonzero(~known)
@@ -253,7 +253,7 @@ def _apply(digest: bool):
                 out.append((owner, n, gone, hashlib.sha256(kept.encode()).hexdigest() if digest else kept))
             return out
 
-        for b in batches:
+        for b in tidy(batches):
             rows: list[tuple] = []
             doc, pos = b["doc_id"].tolist(), b["pos"].to_numpy()
             text = b["text"]

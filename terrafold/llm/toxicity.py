@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import stored
+from ._words import tidy
 from .neardup import shingle_sets
 
 MOST_DOCS = 40_000
@@ -142,21 +143,28 @@ def held_out(doc_id):
 
 
 def _families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
+    for b in tidy(batches):
         sets = shingle_sets(b["text"].tolist())
         yield b.assign(family=[int(s[0]) >> 1 if len(s) else -1 for s in sets])
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen = (Counter(), Counter())
-    for b in batches:
+
+    def flush() -> Iterator[pd.DataFrame]:
+        for toxic in (0, 1):
+            items = list(seen[toxic].items())
+            seen[toxic].clear()
+            for lo in range(0, len(items), 50_000):
+                part = items[lo : lo + 50_000]
+                yield pd.DataFrame({"token": [t for t, _ in part], "toxic": toxic, "n": [n for _, n in part]})
+
+    for b in tidy(batches):
         for t, toxic in zip(b["text"], b["toxic"], strict=True):
             seen[int(toxic)].update({e for w in set(tokens(t)) for e in entries(w)})
-    for toxic in (0, 1):
-        items = list(seen[toxic].items())
-        for lo in range(0, len(items), 50_000):
-            part = items[lo : lo + 50_000]
-            yield pd.DataFrame({"token": [t for t, _ in part], "toxic": toxic, "n": [n for _, n in part]})
+            if len(seen[0]) + len(seen[1]) > 250_000:
+                yield from flush()
+    yield from flush()
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS) -> Model:
@@ -180,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS) -> Model
     model = Model({r["token"]: r["w"] for r in lexicon}, min(-0.02, float(np.log((rt + 1) / (nt + 1)) - np.log((rc + 1) / (nc + 1)))))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
+        for x in tidy(batches):
             found = [model.found(t) for t in x["text"]]
             yield pd.DataFrame({"doc_id": x["doc_id"], "toxic": x["toxic"], "scores": [[s for s, _, _ in f] for f, _ in found], "n": [n for _, n in found]})
 
@@ -218,7 +226,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, model: Model | None = No
     model = model or fit(docs, labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidy(batches):
             yield pd.DataFrame({"doc_id": b["doc_id"].array, "score": [model.score(t) for t in b["text"]]})
 
     out = docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, score double")
@@ -230,7 +238,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in tidy(batches):
             yield b[[model.score(t) < 0.5 for t in b["text"]]]
 
     return docs.mapInPandas(run, docs.schema)

@@ -31,6 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._words import tidy
+
 MAGIC = 0x184D2A5D
 LEVEL, DICT_BYTES = 3, 64 << 10
 SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 16 << 10
@@ -143,7 +145,7 @@ def write_archives(pages: DataFrame, root: str, least: int = 0) -> DataFrame:
         task = TaskContext.get()
         temp, path = f"{base}/.part-{task.partitionId():06d}-{task.taskAttemptId()}", f"{base}/part-{task.partitionId():06d}.warc.zst"
         out, n, size = None, 0, 0
-        for b in batches:
+        for b in tidy(batches):
             for page_id, url, html, kind, refers in b.itertuples(index=False, name=None):
                 if out is None:
                     out = store.open_output_stream(temp, compression=None)
@@ -164,7 +166,7 @@ def read_archives(spark, root: str, paths: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, _ = pafs.FileSystem.from_uri(root)
-        for b in batches:
+        for b in tidy(batches):
             for path in b["path"]:
                 rows = []
                 with store.open_input_stream(path, compression=None) as f:

@@ -4,7 +4,6 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from terrafold.llm import neardup, substring
 from terrafold.llm._graph import components
@@ -123,4 +122,3 @@ def test_words_agree_with_the_pattern():
     for i, t in enumerate(texts):
         own = [w.buffer[a:b].decode() for a, b in zip(w.start[w.doc == i], w.end[w.doc == i])]
         assert own == WORD.findall(t or "")
-    assert F is not None

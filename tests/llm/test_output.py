@@ -3,7 +3,6 @@ import hashlib
 import struct
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow.fs as pafs
 import pytest
@@ -179,7 +178,6 @@ def test_dual_tree_prunes_clusters():
     best = covertree.Best(len(q), 10)
     pairs = covertree.dual_search(q, ids[::100], covertree.cover_tree(p), p, ids, covertree.cover_tree(q, 4), best)
     assert pairs < 0.2 * len(q) * len(p)
-    assert isinstance(pd.DataFrame(best.ids), pd.DataFrame)
 
 
 def test_queries_and_pipeline_at_small_scale(spark):
