@@ -2,14 +2,17 @@
 
 A text is lower-cased (A-Z) and cut into *units*: each CJK character alone, every
 other run of non-space characters in pieces of at most four, counted from the start
-of the run. Every ``k`` consecutive units are hashed (rolling: pairs, then fours,
-from the hashes of single units); every window of ``w`` consecutive k-gram hashes
+of the run. In long runs units roll: a code point with ``REACH`` others of its run
+before it or behind it starts a unit of the four code points from it on. Every ``k``
+consecutive units are hashed (rolling: pairs, then fours, from the hashes of single
+units); every window of ``w`` consecutive k-gram hashes
 gives its minimum, of equal minima the rightmost, with its position. Consecutive
 windows mostly share their minimum, so about 2/(w+1) of the positions are kept.
 
 Match guarantee: two texts that share a run of at least ``w + k - 1`` units share a
 kept hash, and the kept positions say where. A passage starts on a unit boundary
-wherever a word starts.
+wherever a word starts, and at any offset in text without spaces: of a run that
+two texts share in part, any ``2 * REACH`` code points give the same units in both.
 
 Defined results: null text counts as empty; an empty text, or one without units, has
 no kept hashes; fewer than ``k`` units are one gram of all of them; fewer than ``w``
@@ -27,7 +30,14 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-UNIT = r"[぀-ヿ㐀-䶿一-鿿가-힯]|[^\x20\x09-\x0D぀-ヿ㐀-䶿一-鿿가-힯]{1,4}"
+_ALONE = "぀-ヿ㐀-䶿一-鿿가-힯"
+_RUN = rf"[^\x20\x09-\x0D{_ALONE}]"
+#: A code point with so many of its run before or behind it starts a unit of its own.
+REACH = 16
+#: Group 1 is the unit, the match how far to go. The last branch never matches; it makes Java's look-behind count code points.
+UNIT = rf"(?=([{_ALONE}]|{_RUN}{{1,4}}))(?:[{_ALONE}]|{_RUN}(?:(?={_RUN}{{{REACH}}})|(?<={_RUN}{{{REACH + 1}}}))|{_RUN}{{1,4}}|\U0010FFFF)".replace(r"\U0010FFFF", "\U0010FFFF")
+#: Runs of more than REACH code points whole (over 16 bytes, as no other piece is), the units of all else.
+_PIECE = rf"{_RUN}{{1,4}}+(?:{_RUN}{{{REACH - 3},}}+)?|[{_ALONE}]"
 K, W = 5, 8
 _POSITION_BITS = 31
 _POSITION_MASK = (1 << _POSITION_BITS) - 1
@@ -51,7 +61,12 @@ def _spread(have: int, want: int) -> list[int]:
 
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """Add ``out``: array<bigint> of kept entries ``hash << 31 | (2**31 - 1 - position)``, ascending."""
-    steps = [(f"{out}__units", F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), F.lit(UNIT), F.lit(0)))]
+    units = f"{out}__units"
+    steps = [(units, F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), F.lit(_PIECE), F.lit(0)))]
+    # a piece's own units are those of the text: UNIT never looks beyond a run
+    long = lambda p: F.octet_length(p) > 16
+    rolled = F.flatten(F.transform(F.col(units), lambda p: F.when(long(p), F.regexp_extract_all(p, F.lit(UNIT), F.lit(1))).otherwise(F.array(p))))
+    steps.append((units, F.when(F.exists(F.col(units), long), rolled).otherwise(F.col(units))))
     steps.append((f"{out}__grams", F.transform(F.col(f"{out}__units"), lambda u: F.xxhash64(u))))
     drop = [f"{out}__units", f"{out}__grams"]
     short = F.size(f"{out}__units") < k
