@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import geometry, lifting, metrics, project, segment
+from ..operators import geometry, lifting, metrics, project, segment, vocab
 from ..operators.lineage import written
 
 VARIANTS = ("center", "mean", "q75", "top", "fixed_qfe", "rank_qfe", "equal_rank")
@@ -37,8 +37,11 @@ def frame_tables(points: DataFrame, target: int, least: float = 0.8, overshoot:
     return own, geometry.superpoint_geometry(own)
 
 
-def lifted(points: DataFrame, raster: DataFrame, terms: DataFrame, protocol: Protocol) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(points with segments, evidence of all variants, segment validity)."""
+def lifted(points: DataFrame, raster: DataFrame, terms: DataFrame, priors: DataFrame, protocol: Protocol) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points with segments, evidence of all variants, segment validity).
+
+    ``priors`` is ``(frame_id, term, term_idx, presence, caption_freq)``, one row a frame and term.
+    """
     own, nodes = frame_tables(points, protocol.target, protocol.least_voxel, protocol.overshoot)
     w, h = protocol.camera["width"], protocol.camera["height"]
     seen = project.footprint(project.with_projection(own, **protocol.camera), w, h)
@@ -47,7 +50,7 @@ def lifted(points: DataFrame, raster: DataFrame, terms: DataFrame, protocol: Pro
     samples = project.sample_pixels(seen.crossJoin(F.broadcast(terms)), raster, protocol.terms_key)
     centers = project.sample_pixels(mids.crossJoin(F.broadcast(terms)), raster, protocol.terms_key).withColumnRenamed("score", "center")
     stats = lifting.evidence_stats(samples, centers.select("frame_id", "sp_id", "term", "term_idx", "center"))
-    return own, written(lifting.lift(stats), "evidence"), lifting.footprint_validity(seen)
+    return own, written(lifting.equal_rank(lifting.lift(stats), priors), "evidence"), lifting.footprint_validity(seen)
 
 
 def evaluate(points: DataFrame, evidence: DataFrame, validity: DataFrame, mappers: DataFrame, protocol: Protocol) -> DataFrame:
@@ -66,6 +69,12 @@ def evaluate(points: DataFrame, evidence: DataFrame, validity: DataFrame, mapper
     return metrics.summary_metrics(hist, protocol.classes, ["variant", "mapper"])
 
 
+def verified_terms(evidence: DataFrame, validity: DataFrame, priors: DataFrame, value: str = "fixed_qfe") -> DataFrame:
+    """(frame_id, term): the terms that score and verification keep of each frame."""
+    own = evidence.join(validity.select("frame_id", "sp_id", F.col("sp_valid").alias("valid")), ["frame_id", "sp_id"])
+    return vocab.verify_terms(vocab.score_terms(own, priors, value)).where("verified").select("frame_id", "term")
+
+
 def label_points(points: DataFrame, evidence: DataFrame, validity: DataFrame, verified: DataFrame | None, value: str = "fixed_qfe") -> DataFrame:
     """The modular pipeline's last step: verified terms to segments to points."""
     scores = evidence.select("frame_id", "sp_id", "term", "term_idx", F.col(value).alias("score")).join(validity.select("frame_id", "sp_id", F.col("sp_valid").alias("valid")), ["frame_id", "sp_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import qfe
-from ..operators import metrics, segment
+from ..operators import metrics, segment, vocab
 from . import fixtures as fx
 from . import pipeline
 from .fixtures import q6 as r6
@@ -37,14 +37,31 @@ def end_to_end_miou(spark, sf):
     return rounded(metrics.summary_metrics(hist, [1, 2, 3, 4, 5]), "miou", "macc", "oa")
 
 
+def _priors(points, maps, terms):
+    """(frame_id, term, term_idx, presence, caption_freq): a term's high raster score, and its share of the names that stand for a frame's caption."""
+    presence = maps.groupBy("term").agg(F.percentile("score", F.lit(0.95)).alias("presence"))
+    names = points.select("frame_id", F.floor(F.least("r", "b") / 32).cast("int").alias("term_idx")).join(F.broadcast(terms), "term_idx", "left").select("frame_id", "term")
+    candidates = points.select("frame_id").distinct().crossJoin(F.broadcast(terms)).join(F.broadcast(presence), "term")
+    return vocab.caption_frequency(names, candidates)
+
+
+def _nearest_classes(spark, sf, terms):
+    """(term, class_id): the class whose vector is most like the term's; terms and classes have the vectors of ten labels."""
+    v = fx.prototypes(spark, sf)
+    items = terms.join(v, "term_idx").select(F.col("term").alias("id"), "text_v")
+    classes = v.where("term_idx BETWEEN 5 AND 9").select((F.col("term_idx") - 5).alias("place"), (F.col("term_idx") - 4).cast("int").alias("class_id"), F.col("text_v").alias("v"))
+    return vocab.nearest_label(items, classes, "text_v", -1.0).select(F.col("id").alias("term"), "class_id")
+
+
 @query()
 def clean_protocol(spark, sf):
-    """Six variants under two term maps by the pipeline's own partition."""
-    protocol = pipeline.Protocol(classes=[1, 2, 3, 4, 5], camera=fx.CAMERA, target=120, variants=("center", "mean", "q75", "top", "fixed_qfe", "rank_qfe"))
+    """Seven variants under three term maps by the pipeline's own partition."""
+    protocol = pipeline.Protocol(classes=[1, 2, 3, 4, 5], camera=fx.CAMERA, target=120)
     points = fx.points(spark, sf).withColumn("gt", F.col("label") % 5 + 1)
-    own, evidence, validity = pipeline.lifted(points, fx.raster(spark, sf), fx.raster_terms(spark, sf), protocol)
-    terms = fx.raster_terms(spark, sf)
+    maps, terms = fx.raster(spark, sf), fx.raster_terms(spark, sf)
+    own, evidence, validity = pipeline.lifted(points, maps, terms, _priors(points, maps, terms), protocol)
     mappers = terms.select(F.lit("rule").alias("mapper"), "term", (F.col("term_idx") + 1).alias("class_id")).unionByName(terms.select(F.lit("shifted").alias("mapper"), "term", ((F.col("term_idx") + 1) % 5 + 1).alias("class_id")))
+    mappers = mappers.unionByName(_nearest_classes(spark, sf, terms).select(F.lit("nearest").alias("mapper"), "term", "class_id"))
     return pipeline.evaluate(own, evidence, validity, mappers, protocol)
 
 
@@ -52,6 +69,7 @@ def clean_protocol(spark, sf):
 def modular_labels(spark, sf):
     """Verified terms of each frame on its points."""
     protocol = pipeline.Protocol(classes=[1], camera=fx.CAMERA, target=120)
-    own, evidence, validity = pipeline.lifted(fx.points(spark, sf), fx.raster(spark, sf), fx.raster_terms(spark, sf), protocol)
-    verified = fx.points(spark, sf).select("frame_id").distinct().withColumn("term", F.explode(F.array(F.lit("click"), F.lit("error"), F.lit("view"))))
-    return pipeline.label_points(own, evidence, validity, verified)
+    points, maps, terms = fx.points(spark, sf), fx.raster(spark, sf), fx.raster_terms(spark, sf)
+    priors = _priors(points, maps, terms)
+    own, evidence, validity = pipeline.lifted(points, maps, terms, priors, protocol)
+    return pipeline.label_points(own, evidence, validity, pipeline.verified_terms(evidence, validity, priors))
