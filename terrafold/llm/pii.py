@@ -16,7 +16,10 @@ classifier, a logistic model whose verdict adds the span. Candidate kinds: ``sec
 
 Defined results: null text counts as empty; a text without matches has zero counts and
 empty span strings; repeated rows repeat their results; other columns are not read.
-Added spans never overlap a base span or each other. Offsets are code points.
+Candidates of all kinds vote even where
+they overlap; of accepted ones that do, the earlier start stays, of equal starts an IBAN
+whose check sum holds, else the kind listed first. Added spans never overlap a base span
+or each other. Offsets are code points.
 """
 
 from __future__ import annotations
@@ -136,18 +139,32 @@ def _iban_sum(s: str) -> bool:
 
 
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int, list[int], list[int]]]:
-    """Candidates of the added kinds that overlap no base span and no earlier candidate."""
+    """Candidates of the added kinds that overlap no base span; they may overlap each other until they are classified."""
     taken = sorted((s, e) for s, _, e in base)
     raw = [(m.start(), 0, "secret", m.end()) for m in _SECRET.finditer(text) if any(c.isdigit() for c in m[0])]
     raw += [(m.start(), 1, "iban", m.end()) for m in _IBAN.finditer(text)]
     raw += [(m.start(), 2, "local", m.end()) for m in _LOCAL_PHONE.finditer(text)]
     raw += [(m.start(1), 3, "name", m.end(1)) for m in _NAME.finditer(text)]
-    out, end, i = [], 0, 0
+    out, i = [], 0
     for s, _, kind, e in sorted(raw):
         while i < len(taken) and taken[i][1] <= s:
             i += 1
-        if s >= end and not (i < len(taken) and taken[i][0] < e):
+        if not (i < len(taken) and taken[i][0] < e):
             out.append((s, kind, e, *_votes(kind, text, s, e)))
+    return out
+
+
+def _preferred(start: int, kind: str, end: int, form: str) -> tuple[int, int, int]:
+    """Order among accepted spans: the earlier start, then an IBAN whose check sum holds, then kinds as listed."""
+    return start, -1 if kind == "iban" and form == "1" else KINDS.index(kind), end
+
+
+def resolved(spans: list[tuple[int, str, int, str]]) -> list[tuple[int, str, int]]:
+    """Of accepted (start, kind, end, features), those that overlap no preferred one."""
+    out, end = [], 0
+    for s, k, e, f in sorted(spans, key=lambda x: _preferred(*x[:3], x[3][:1])):
+        if s >= end:
+            out.append((s, k, e))
             end = e
     return out
 
@@ -233,7 +250,14 @@ def find_spans(docs: DataFrame) -> DataFrame:
     accepted = _accepted(scanned)
     ok = F.array(*[F.lit(a) for a in accepted]) if accepted else F.array().cast("array<string>")
     more = F.filter("more", lambda m: F.array_contains(ok, F.concat_ws("|", m["kind"], m["features"])))
-    return scanned.withColumn("more", F.transform(more, lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"))))
+    summed = lambda m: (m["kind"] == "iban") & m["features"].startswith("1")
+    place = lambda m: F.when(summed(m), -1).otherwise(F.array_position(F.array(*[F.lit(k) for k in KINDS]), m["kind"]).cast("int") - 1)
+    keyed = F.array_sort(F.transform(more, lambda m: F.struct(m["start"].alias("start"), place(m).alias("place"), m["end"].alias("end"), m["kind"].alias("kind"))))
+    span = lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end"))
+    # as in resolved(): a span that starts before the last kept one's end gives way
+    free = lambda kept, m: (F.size(kept) == 0) | (m["start"] >= F.element_at(kept, F.greatest(F.size(kept), F.lit(1)))["end"])
+    kept = F.aggregate(keyed, F.array().cast(f"array<struct<{_SPAN}>>"), lambda kept, m: F.when(free(kept, m), F.concat(kept, F.array(span(m)))).otherwise(kept))
+    return scanned.withColumn("more", kept)
 
 
 def _listed(spans) -> F.Column:
@@ -255,9 +279,12 @@ def masked(text: str | None, accepted: frozenset[str]) -> str | None:
     if text is None:
         return None
     base = base_spans(text)
-    spans = [*base, *((s, k, e) for s, k, e, _, f in candidates(text, base) if f"{k}|{','.join(map(str, f))}" in accepted)]
+    more = [(s, k, e, f) for s, k, e, f in ((s, k, e, ",".join(map(str, f))) for s, k, e, _, f in candidates(text, base)) if f"{k}|{f}" in accepted]
+    first = set(resolved(more))
+    # what gives way to a preferred span is masked too, where it goes on beyond it
+    spans = sorted([*((s, False, k, e) for s, k, e in base), *((s, (s, k, e) not in first, k, e) for s, k, e, _ in more)])
     out, at = [], 0
-    for s, k, e in sorted(spans):
+    for s, _, k, e in spans:
         if s >= at:
             out += [text[at:s], f"<{k.upper()}>"]
         at = max(at, e)
