@@ -234,10 +234,11 @@ def _tile_links(percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         edges = []
         for _, part in group.groupby("cluster", sort=False):
-            part = part.drop_duplicates("node")
+            # a repeated doc_id may have several texts: every set of a node confirms links
+            part = part.drop_duplicates(["node", "members"])
             nodes = part["node"].to_numpy()
             sets = [np.frombuffer(m, dtype=np.uint64) for m in part["members"]]
-            edges += [(nodes[i], nodes[j]) for i, j in _links(sets, part["tile"].to_numpy(), percent)]
+            edges += [(nodes[i], nodes[j]) for i, j in _links(sets, part["tile"].to_numpy(), percent) if nodes[i] != nodes[j]]
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return run
