@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Every round is two aggregations and two joins over the edge list; each round's
-edges are a table in the shared scratch folder. Nothing is gathered on the driver
-but a row count and a checksum per round.
+Every round is two aggregations and two joins over the edge list, each written to a table
+in the shared scratch folder. Joins therefore read both sides from tables, and adaptive
+execution can split a hub's edges among tasks. Nothing is gathered on the driver but a row
+count and a checksum per round.
 """
 
 from __future__ import annotations
@@ -30,14 +31,15 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     seen = _checksum(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least, path_1 = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), tag)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # every node below its neighbours also points to its own least neighbour
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large, path_2 = stored(large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct(), tag)
+        down, path_3 = stored(large.groupBy("a").agg(F.min("b").alias("m")), tag)
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        small = small.unionByName(down.select("a", F.col("m").alias("b"))).distinct()
-        after, new_path = stored(small, tag)
+        after, new_path = stored(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), tag)
+        for used in (path_1, path_2, path_3):
+            drop(spark, used)
         check = _checksum(after)
         drop(spark, path)
         now, path = after, new_path

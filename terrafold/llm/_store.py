@@ -13,9 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder from ``spark.checkpoint.dir``; where that is unset (tests), a folder of our own."""
+    """Folder from ``spark.checkpoint.dir``; where that is unset in one process (tests), a folder of our own, on a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -58,6 +61,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
 
 
+#: A table of less than so many bytes a core may be a single row group, which one task would read and work on alone.
+SMALL_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table; one of few megabytes is dealt out to all cores, any other is read as its splits are."""
     bounded_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < SMALL_BYTES * cores else df

@@ -2,6 +2,10 @@
 
 Words are maximal runs of bytes other than space and 0x09-0x0D; these bytes never
 occur inside a multi-byte UTF-8 character, so byte runs equal code point runs.
+
+A word's hash chains its 8-byte blocks through a mixer between any two of them, words beyond
+``LONG`` bytes have an XXH3 hash; neither is a polynomial, so no family of words (Thue-Morse
+words, say) collides for every base. Runs of words are polynomials over these hashes.
 """
 
 from __future__ import annotations
@@ -12,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: The C library's way to give free memory back, where it has one.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -20,11 +25,17 @@ _IS_SEPARATOR = np.zeros(256, dtype=bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
 _SPAN = 0xD1342543DE82EF95 | 1
+#: Bytes of a word from which it is hashed whole.
+LONG = 64
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def is_separator(raw: np.ndarray) -> np.ndarray:
+    """Which bytes stand between words."""
+    return _IS_SEPARATOR[raw]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (wraps silently)."""
     x = x ^ (x >> np.uint64(30))
@@ -53,6 +64,26 @@ def rolling(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return (prefix[ends] - prefix[starts]) * down[starts]
 
 
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of every word."""
+    size = end - start
+    padded = np.zeros(len(raw) + LONG + 8, dtype=np.uint8)
+    padded[: len(raw)] = raw
+    blocks = np.ndarray((len(raw) + LONG,), dtype="<u8", buffer=padded, strides=(1,))
+    out = mix64(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    todo = np.flatnonzero(size <= LONG)
+    done = 0
+    while len(todo):
+        left = size[todo] - done
+        full = blocks[start[todo] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.minimum(left, 8).astype(np.uint64) * np.uint64(8)))
+        out[todo] = mix64((out[todo] ^ full) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(done + 1))
+        done += 8
+        todo = todo[left > 8]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes())
+    return out
+
+
 @dataclass
 class Words:
     """Words of a chunk of texts: ``doc`` indexes the chunk's rows, spans are bytes of ``buffer``."""
@@ -79,8 +110,7 @@ def words_of(texts: Sequence[str | None], lower: bool = False) -> Words:
     offsets = np.cumsum([0] + [len(p) + 1 for p in parts])
     first = np.searchsorted(start, offsets)
     doc = np.repeat(np.arange(len(parts)), np.diff(first))
-    sums = rolling(raw.astype(np.uint64) + np.uint64(1), start, end, _BASE)
-    return Words(buffer, doc, start, end, mix64(sums ^ (end - start).astype(np.uint64)), first)
+    return Words(buffer, doc, start, end, word_hashes(raw, start, end), first)
 
 
 def spans_of(hashes: np.ndarray, length: int, salt: int = 0) -> np.ndarray:

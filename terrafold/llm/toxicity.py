@@ -1,26 +1,30 @@
 """Toxic passages: maximum-scoring segments over token log-odds.
 
 *Weights.* Entries are words and their prefixes (``PREFIXES`` code points, so inflected and
-compound forms share their stem). Document counts of toxic and clean training texts, one
-document of each family of near copies, with an informative Dirichlet prior (the
-pooled corpus) give every entry a log-odds. Entries whose likelihood ratio is beyond
+compound forms share their stem). Document counts of toxic and clean training texts, with an
+informative Dirichlet prior (the pooled corpus) give every entry a log-odds. Of training texts
+with one label and the same set of shingles (copies up to case, spacing and repeats) one counts,
+and near copies within one label weigh together: a text counts 1/m where m texts of its label share
+its least shingle hash, so a template that fills the sample is one voice. Entries whose likelihood ratio is beyond
 what the most extreme of so many entries reaches by chance form the lexicon; a token weighs what
 its strongest entry weighs, all others share the negative weight of the rest of the vocabulary.
 
 *Segments.* A linear-time scan (Ruzzo and Tompa) over the whole text yields every maximal
 scoring segment. Runs of ordinary tokens are one step, so the scan's cost follows the lexicon hits.
+Each segment keeps a link to the nearest earlier one with a smaller left sum, so a search
+skips all between, and every link is walked once.
 
 *Calibration.* On clean training documents the best segment's score, less the logarithm
 of the text's length, follows an extreme-value law; its location and scale
 are fitted by moments. A document's evidence is the sum of its significant segments'
 tail surprisals; a logistic link on that evidence, fitted on training labels, gives the score.
 
-The fit uses at most about ``MOST_DOCS`` labelled documents (by hash of doc_id, so
+The lexicon is as large as the sample's vocabulary makes it. The fit uses at most about ``MOST_DOCS`` labelled documents (by hash of doc_id, so
 the same ones in every run); scoring covers every whole text.
 
 Defined results: null or wordless texts have no segments and get the score of no
 evidence. Unlabelled and null-labelled rows do not train. A training set without both
-classes scores every text 0.0. Rows that repeat a ``doc_id`` are scored each. Labels,
+classes, or without a telling entry, scores every text 0.0. Rows that repeat a ``doc_id`` are scored each. Labels,
 lang, source and doc_id never enter a score; other columns are not read.
 """
 
@@ -31,16 +35,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._arrow import filter_texts, map_batches
 from ._store import stored
-from ._words import tidy
+from ._words import mix64
 from .neardup import shingle_sets
 
 MOST_DOCS = 40_000
-MOST_TOKENS = 50_000
 PREFIXES = (4, 5, 6)
 #: A lexicon entry's likelihood ratio exceeds 2 ln(entries) + MARGIN.
 MARGIN = 6.0
@@ -63,28 +67,32 @@ def segments(weights: list[float], positions: list[int], n: int, rest: float) ->
     ``weights`` at ``positions`` (ascending) of ``n`` tokens; every other token weighs ``rest`` < 0.
     """
     total, at = 0.0, -1
-    left: list[float] = []
-    right: list[float] = []
-    span: list[tuple[int, int]] = []
+    out: list[tuple[float, int, int]] = []
+    # the open segments: (sum before, sum after, first, last, place of the nearest one before with a smaller sum before)
+    held: list[tuple[float, float, int, int, int]] = []
     for w, p in zip(weights, positions, strict=True):
         total += rest * (p - at - 1)
         at = p
         before, total = total, total + w
         if w <= 0:
             continue
-        lo, hi, begin, end = before, total, p, p
+        lo, begin = before, p
+        j = len(held) - 1
         while True:
-            j = len(left) - 1
-            while j >= 0 and left[j] >= lo:
-                j -= 1
-            if j < 0 or right[j] >= hi:
-                left.append(lo)
-                right.append(hi)
-                span.append((begin, end))
+            while j >= 0 and held[j][0] >= lo:
+                j = held[j][4]
+            if j < 0:
+                # nothing later joins what came before
+                out += [(x[1] - x[0], x[2], x[3]) for x in held]
+                held = [(lo, total, begin, p, -1)]
                 break
-            lo, begin = left[j], span[j][0]
-            del left[j:], right[j:], span[j:]
-    return [(hi - lo, *s) for lo, hi, s in zip(left, right, span, strict=True)]
+            if held[j][1] >= total:
+                held.append((lo, total, begin, p, j))
+                break
+            lo, _, begin, _, back = held[j]
+            del held[j:]
+            j = back
+    return out + [(x[1] - x[0], x[2], x[3]) for x in held]
 
 
 class Model:
@@ -119,6 +127,8 @@ class Model:
         return sum(x for i, x in enumerate(s) if i == 0 or x > 3.0)
 
     def score(self, text: str | None) -> float:
+        if not self.lexicon:
+            return 0.0
         a, b = self.link
         return float(1 / (1 + np.exp(-np.clip(a + b * np.log1p(self.evidence(text)), -30, 30))))
 
@@ -130,7 +140,7 @@ class Model:
 
 def _training(docs: DataFrame, labels: DataFrame, most_docs: int) -> DataFrame:
     """(toxic, text, family) of at most about ``most_docs`` labelled rows outside the held-out fifth."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     n = known.count()
     if n > most_docs:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * most_docs / n))
@@ -142,37 +152,47 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def _families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in tidy(batches):
-        sets = shingle_sets(b["text"].tolist())
-        yield b.assign(family=[int(s[0]) >> 1 if len(s) else -1 for s in sets])
+#: Least shingle hashes that make a family: 0.9 alike texts share all with a chance of 0.7, texts with 0.4 with one of 0.06.
+_FAMILY = 3
+
+
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        sets = shingle_sets(b.column("text").to_pylist())
+        yield {"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "text": b.column("text"), "family": [int(mix64(s[:_FAMILY]).sum()) >> 1 if len(s) else -1 for s in sets]}
 
 
-def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     seen = (Counter(), Counter())
 
-    def flush() -> Iterator[pd.DataFrame]:
+    def flush() -> Iterator[dict]:
         for toxic in (0, 1):
             items = list(seen[toxic].items())
             seen[toxic].clear()
             for lo in range(0, len(items), 50_000):
                 part = items[lo : lo + 50_000]
-                yield pd.DataFrame({"token": [t for t, _ in part], "toxic": toxic, "n": [n for _, n in part]})
+                yield {"token": [t for t, _ in part], "toxic": [toxic] * len(part), "n": [n for _, n in part]}
 
-    for b in tidy(batches):
-        for t, toxic in zip(b["text"], b["toxic"], strict=True):
-            seen[int(toxic)].update({e for w in set(tokens(t)) for e in entries(w)})
+    for b in batches:
+        for t, toxic, weight in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "weight")), strict=True):
+            own = seen[int(toxic)]
+            for e in {e for w in set(tokens(t)) for e in entries(w)}:
+                own[e] += weight
             if len(seen[0]) + len(seen[1]) > 250_000:
                 yield from flush()
     yield from flush()
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS) -> Model:
-    rows, _ = stored(_training(docs, labels, most_docs).mapInPandas(_families, "doc_id bigint, toxic int, text string, family bigint"), "labelled")
-    ids = rows.groupBy("family").agg(F.min("doc_id").alias("doc_id"))
-    train = rows.join(F.broadcast(ids), ["family", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    counts, _ = stored(train.mapInPandas(_counts, "token string, toxic int, n bigint").groupBy("token").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")), "tokens")
-    nt, nc, v = counts.agg(F.sum("t"), F.sum("c"), F.count(F.lit(1))).first()
+    rows, _ = stored(map_batches(_training(docs, labels, most_docs), _families, "doc_id bigint, toxic int, text string, family bigint"), "labelled")
+    # at most a row for each of about most_docs texts
+    weights = rows.groupBy("family", "toxic").agg((1 / F.count(F.lit(1))).alias("weight"))
+    train = rows.join(F.broadcast(weights), ["family", "toxic"]).select("doc_id", "toxic", "text", "weight")
+    by = lambda toxic: F.sum(F.when(F.col("toxic") == toxic, F.col("n")).otherwise(0.0))
+    # rounded, so that the order of sums does not show
+    counts = map_batches(train, _counts, "token string, toxic int, n double").groupBy("token").agg(F.round(by(1), 6).alias("t"), F.round(by(0), 6).alias("c"))
+    counts, _ = stored(counts, "tokens")
+    nt, nc, v = counts.agg(F.round(F.sum("t"), 3), F.round(F.sum("c"), 3), F.count(F.lit(1))).first()
     if not nt or not nc:
         return Model({}, -0.1)
     prior = (F.col("t") + F.col("c")) * (PRIOR / (nt + nc))
@@ -182,17 +202,17 @@ def fit(docs: DataFrame, labels: DataFrame, most_docs: int = MOST_DOCS) -> Model
     both = F.col("t") + F.col("c")
     term = lambda n, p: F.when(n > 0, n * F.log(n / (both * p))).otherwise(0.0)
     scored = counts.withColumn("w", odds).withColumn("g", 2 * (term(F.col("t"), share) + term(F.col("c"), 1 - share)))
-    # a bounded sample has a bounded vocabulary; the most telling entries of it come here
-    lexicon = scored.where(F.col("g") > 2 * float(np.log(v)) + MARGIN).orderBy(F.col("g").desc(), "token").limit(MOST_TOKENS).collect()
+    # a bounded sample has a bounded vocabulary; its telling entries come here
+    lexicon = scored.where(F.col("g") > 2 * float(np.log(v)) + MARGIN).orderBy(F.col("g").desc(), "token").collect()
     rt, rc = nt - sum(r["t"] for r in lexicon), nc - sum(r["c"] for r in lexicon)
     model = Model({r["token"]: r["w"] for r in lexicon}, min(-0.02, float(np.log((rt + 1) / (nt + 1)) - np.log((rc + 1) / (nc + 1)))))
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in tidy(batches):
-            found = [model.found(t) for t in x["text"]]
-            yield pd.DataFrame({"doc_id": x["doc_id"], "toxic": x["toxic"], "scores": [[s for s, _, _ in f] for f, _ in found], "n": [n for _, n in found]})
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            found = [model.found(t) for t in b.column("text").to_pylist()]
+            yield {"doc_id": b.column("doc_id"), "toxic": b.column("toxic"), "weight": b.column("weight"), "scores": [[s for s, _, _ in f] for f, _ in found], "n": [n for _, n in found]}
 
-    sample = sorted(train.mapInPandas(best, "doc_id bigint, toxic int, scores array<double>, n bigint").collect())
+    sample = sorted(map_batches(train, best, "doc_id bigint, toxic int, weight double, scores array<double>, n bigint").collect())
     clean = np.array([max(r["scores"], default=0.0) - np.log(max(r["n"], 2)) for r in sample if r["toxic"] == 0])
     # moments of the extreme-value law; the scale has a floor where clean texts have no segments at all
     model.scale = max(0.25, float(clean.std() * np.sqrt(6) / np.pi))
@@ -225,20 +245,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, model: Model | None = No
     """``(doc_id, held_out, score, predicted)`` of every row of ``docs``; a null doc_id is not held out."""
     model = model or fit(docs, labels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in tidy(batches):
-            yield pd.DataFrame({"doc_id": b["doc_id"].array, "score": [model.score(t) for t in b["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            yield {"doc_id": b.column("doc_id"), "score": [model.score(t) for t in b.column("text").to_pylist()]}
 
-    out = docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, score double")
+    out = map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score is below 0.5, all columns as they are."""
     model = fit(docs, labels)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in tidy(batches):
-            yield b[[model.score(t) < 0.5 for t in b["text"]]]
-
-    return docs.mapInPandas(run, docs.schema)
+    return filter_texts(docs, "text", lambda texts: [model.score(t) < 0.5 for t in texts])

@@ -122,3 +122,28 @@ def test_words_agree_with_the_pattern():
     for i, t in enumerate(texts):
         own = [w.buffer[a:b].decode() for a, b in zip(w.start[w.doc == i], w.end[w.doc == i])]
         assert own == WORD.findall(t or "")
+
+
+def thue_morse(n, swap=False):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse_stay_apart(spark):
+    a, b = thue_morse(1024), thue_morse(1024, True)
+    rows = [(1, a, "", "", 1), (2, b, "", "", 1), (3, " ".join([a] + ["q"] * 19), "", "", 1), (4, " ".join([b] + ["q"] * 19), "", "", 1), (5, " ".join(thue_morse(64)), "", "", 1), (6, " ".join(thue_morse(64, True)), "", "", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert got == brute_components(rows, 85)
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(docs, digest=True).collect()}
+    assert out == brute_removal(rows)
+
+
+def test_partial_sketches_merge_in_a_tree(spark, monkeypatch):
+    rows = documents(600)
+    want = brute_removal(rows)
+    levels = []
+    real = substring._merge
+    monkeypatch.setattr(substring, "_FAN", 1)
+    monkeypatch.setattr(substring, "_merge", lambda log, last: levels.append(last) or real(log, last))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.remove_repeats(spark.createDataFrame(rows, DOCS).repartition(16), digest=True).collect()}
+    assert got == want and levels == [False, True]

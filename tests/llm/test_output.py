@@ -84,9 +84,36 @@ def test_targets_share_the_excess():
 
 def test_splitting_tree_keeps_quotas():
     quotas = np.array([1000, 0, 37, 5])
-    out = mixing.split_quotas(quotas, 7, 1)
+    pools = np.array([1500, 9, 37, 6])
+    out, room = mixing.split_quotas(quotas, pools, 7, 1)
     assert (out.sum(axis=0) == quotas).all() and (out >= 0).all() and np.ptp(out.sum(axis=1)) <= 2
-    assert (out == mixing.split_quotas(quotas, 7, 1)).all()
+    assert (room.sum(axis=0) == pools).all() and (room >= out).all()
+    assert all((a == b).all() for a, b in zip((out, room), mixing.split_quotas(quotas, pools, 7, 1)))
+
+
+def test_last_pass_order_is_a_permutation_with_drawn_blocks_first():
+    blocks, passes, last = np.array([50, 1, 0, 9]), np.array([1, 2, 0, 0]), np.array([20, 0, 0, 9])
+    draw = mixing.Draw(blocks, passes, last, 5, 3)
+    for s, n in enumerate(blocks.tolist()):
+        shard, turn = draw.last_pass(s, np.arange(n))
+        assert sorted(turn.tolist()) == list(range(n))
+        first = shard[turn < last[s]]
+        assert np.bincount(first, minlength=5).tolist() == np.diff(draw.drawn[s]).tolist()
+    slots = np.concatenate([draw.whole_pass(1, np.arange(1), t) for t in range(2)])
+    assert np.bincount(slots, minlength=5).tolist() == np.diff(draw.full[1]).tolist()
+
+
+def test_the_tree_decides_what_is_taken_and_repeated_rows_keep_their_own_copies(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(5 + i % 7)), "en", "ab"[i % 4 == 0], 1) for i in range(200)]
+    taken = lambda **o: {r["doc_id"]: r["taken"] for r in mixing.mix_plan(spark.createDataFrame(rows, DOCS), block_words=20, **o).collect()}
+    two, eight, other = taken(shards=2), taken(shards=8), taken(shards=8, seed=9)
+    assert two != eight and eight != other and sum(two.values()) == sum(eight.values()) == sum(other.values())
+    again = [(1, "a b c", "en", "s", 1), (1, " ".join(["z"] * 40), "en", "s", 1), (1, "a b c", "en", "s", 1), (2**53 + 1, "d e", "en", None, 1), (None, "f", "en", "s", 1)]
+    docs = clashing(spark, again).withColumns({c: F.lit(9) for c in ("words", "shard", "place", "mix_source", "row", "doc", "new_text", "slice")})
+    plan, mixed = mixing.mix_plan(docs).toPandas(), mixing.mix_documents(docs)
+    out = mixed.collect()
+    assert mixed.columns == docs.columns and sum(len(r["text"].split()) for r in out) == plan.taken.sum()
+    assert len(out) == sum(len(c) for c in plan.copies) and {r["doc_id"] for r in out} <= {1, 2**53 + 1, None}
 
 
 def test_mix_meets_targets_to_the_word(spark):

@@ -170,7 +170,24 @@ def test_segments_match_brute_force():
         w = [-1.0 if r.random() < 0.5 else r.uniform(-3, 3) for _ in range(25)]
         hits = [i for i, x in enumerate(w) if x != -1.0]
         got = [(round(s, 6), a, b) for s, a, b in toxicity.segments([w[i] for i in hits], hits, len(w), -1.0)]
-        assert sorted(s for s, _, _ in got) == sorted(s for s, _, _ in brute_segments(w))
+        assert got == brute_segments(w)
+
+
+def test_segment_search_is_linear():
+    import time
+
+    def seconds(n, gap):
+        best = 1e9
+        for _ in range(3):
+            began = time.perf_counter()
+            found = toxicity.segments([1.0 - (i % 3) * 0.1 for i in range(n)], list(range(0, gap * n, gap)), gap * n, -0.7)
+            best = min(best, time.perf_counter() - began)
+        assert found
+        return best
+
+    # falling sums (every hit a segment of its own) and rising ones (all join)
+    for gap in (4, 1):
+        assert seconds(160_000, gap) < 10 * seconds(40_000, gap) < 20
 
 
 def test_toxicity_learns_from_labels_alone(spark):
