@@ -2,7 +2,8 @@
 
 Texts are split by the tokenizer's own pattern; ordinary stretches go to the compiled
 encoder. A piece that the pattern leaves longer than ``LONG`` characters (one "word" of
-megabytes) is encoded as a tree: both halves alone, then the text around each join is
+megabytes) is encoded as a tree: halves down to ``LONG`` characters alone, ``WORKERS`` of them at a time
+in threads (the compiled encoder lets others run), then the text around each join is
 encoded again in a growing window until the window's first token equals the left
 side's token there and its last token the right side's. A token sequence is the
 encoding of its text if every two neighbours are, so agreement at both seams is exact.
@@ -23,13 +24,14 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._words import chunks, tidy
+from ._arrow import map_batches
+from ._words import chunks
 
-LONG = 4096
+LONG, WORKERS = 4096, 2
 FIRST_WINDOW = 32
 
 
@@ -55,6 +57,8 @@ class Codec:
             raise ValueError("merge order and ids differ: this file can't be encoded by rank")
         self.long, self.pattern = long, regex.compile(pattern)
         self.core = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
+        # takes any text for one piece
+        self.piece = tiktoken.Encoding("piece", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {i: b for b, i in ranks.items()} | {i: s.encode() for s, i in self.special.items()}
         self._allowed = set(self.special)
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -75,33 +79,42 @@ class Codec:
         """The pattern's pieces, those of at least ``long`` characters by tree."""
         ids: list[int] = []
         for m in self.pattern.finditer(text):
-            piece = m[0].encode()
-            ids += self.tree(piece) if m.end() - m.start() >= self.long else self._merge(piece)
+            ids += self.tree(m[0]) if m.end() - m.start() >= self.long else self._merge(m[0])
         return ids
 
-    def _merge(self, piece: bytes) -> list[int]:
+    def _merge(self, piece: str) -> list[int]:
         """BPE of one piece, no splitting."""
-        return self.core._core_bpe.encode_single_piece(piece)
+        return self.piece.encode_ordinary(piece)
 
-    def tree(self, piece: bytes, leaf: int = LONG, workers: int = 1) -> list[int]:
-        """Encode ``piece`` by halves; with more workers, the leaves are encoded in parallel."""
-        cuts = list(range(0, len(piece), leaf)) + [len(piece)]
-        leaves = [piece[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        if workers > 1:
+    def tree(self, piece: str, leaf: int = LONG, workers: int = WORKERS) -> list[int]:
+        """Encode ``piece`` by halves, several at a time: first the leaves, then level by level their joins."""
+
+        def levels(run: Callable) -> list[int]:
+            done = list(run(self._merge, [piece[a : a + leaf] for a in range(0, len(piece), leaf)]))
+            while len(done) > 1:
+                done = list(run(lambda pair: self.join(*pair) if len(pair) > 1 else pair[0], [done[i : i + 2] for i in range(0, len(done), 2)]))
+            return done[0] if done else []
+
+        if workers > 1 and len(piece) > leaf:
             with ThreadPoolExecutor(workers) as pool:
-                done = list(pool.map(self._merge, leaves))
-        else:
-            done = [self._merge(x) for x in leaves]
-        while len(done) > 1:
-            done = [self.join(*done[i : i + 2]) if i + 1 < len(done) else done[i] for i in range(0, len(done), 2)]
-        return done[0] if done else []
+                return levels(pool.map)
+        return levels(map)
+
+    def _inside(self, token: int) -> bool:
+        """Whether a token begins within a character."""
+        return self.bytes_of[token][0] & 0xC0 == 0x80
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the concatenated texts of two encodings."""
         take = FIRST_WINDOW
         while True:
+            # a window is text: its ends lie between characters
             i, j = max(0, len(left) - take), min(len(right), take)
-            window = self._merge(b"".join(self.bytes_of[t] for t in [*left[i:], *right[:j]]))
+            while i > 0 and self._inside(left[i]):
+                i -= 1
+            while j < len(right) and self._inside(right[j]):
+                j += 1
+            window = self._merge(b"".join(self.bytes_of[t] for t in [*left[i:], *right[:j]]).decode())
             left_agrees = i == 0 or window[0] == left[i]
             right_agrees = j == len(right) or window[-1] == right[j - 1]
             if left_agrees and right_agrees:
@@ -118,29 +131,30 @@ def codec(path: str, pattern: str, long: int = LONG) -> Codec:
     return Codec(path, pattern, long)
 
 
-def map_texts(docs: DataFrame, schema: str, row: Callable, path: str, pattern: str, columns: list[str]) -> DataFrame:
-    """Apply ``row(codec, text, *other columns) -> tuple`` to every row, in Arrow batches."""
+def _encoded(docs: DataFrame, ddl: str, columns: Callable, path: str, pattern: str) -> DataFrame:
+    """``doc_id`` and ``columns(codec, texts)`` of every row, in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         c = codec(path, pattern)
-        names = [f.strip().split()[0] for f in schema.split(",")]
-        for b in tidy(batches):
-            for lo, hi in chunks(b["text"].tolist()):  # ids of about a million characters at a time
-                yield pd.DataFrame([row(c, *r) for r in b.iloc[lo:hi].itertuples(index=False, name=None)], columns=names)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for lo, hi in chunks(texts):  # ids of about half a million characters at a time
+                yield {"doc_id": b.column("doc_id").slice(lo, hi - lo)} | columns(c, [t or "" for t in texts[lo:hi]])
 
-    return docs.select(*columns).mapInPandas(run, schema)
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id bigint, {ddl}")
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, ids)`` of every text."""
-    return map_texts(docs, "doc_id bigint, ids array<int>", lambda c, t, i: (i, np.array(c.encode(t or ""), dtype=np.int32)), path, pattern, ["text", "doc_id"])
+    return _encoded(docs, "ids array<int>", lambda c, texts: {"ids": [np.array(c.encode(t), dtype=np.int32) for t in texts]}, path, pattern)
 
 
-def _digests(c: Codec, text: str | None, doc_id: int | None) -> tuple:
-    ids = c.encode(text or "")
-    return doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
+def _digests(c: Codec, texts: list[str]) -> dict:
+    ids = [c.encode(t) for t in texts]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return {"n_tokens": [len(x) for x in ids], "ids_sha256": [sha(",".join(map(str, x))) for x in ids], "decoded_sha256": [sha(c.decode(x)) for x in ids]}
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)``: encoded, then decoded from the ids alone."""
-    return map_texts(docs, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests, path, pattern, ["text", "doc_id"])
+    return _encoded(docs, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests, path, pattern)

@@ -1,18 +1,24 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Every vector becomes whole numbers, floor(1024 x). The stated query set goes out in blocks of at
-most ``QUERY_BLOCK`` vectors (the broadcast's fixed bound); each task builds a cover tree on each
-run of ``CHUNK`` of its candidates and one on the queries: a node's children are a greedy net at half
-its radius, and every node knows its covering radius. Pairs of nodes are visited together,
+Every vector becomes whole numbers, floor(1024 x). The stated query set is searched block by block, each
+block of at most ``QUERY_BYTES`` (the broadcast's fixed bound) collected, sent out, searched and freed
+before the next; each task builds a cover tree on each run of ``CHUNK`` of its candidates and one on the
+queries: a node's children are a greedy net at half its radius, and every node knows its covering radius, its
+cone (the widest angle to its center) and its norms. Pairs of nodes are visited together,
 largest bound first: the product of a query below Q and a candidate below P is at most
-``q.p + rQ |p| + rP |q| + rQ rP``. A pair goes if that is below the worst kth score so far
-among Q's queries. What is left meets in exact integer products; equal scores order by
-smaller vec_id. Each task gives k rows a query at most, and the best k of these are the result.
+``q.p + rQ |p| + rP |q| + rQ rP``, and at most ``|Q| |P| cos(angle(q, p) - cone Q - cone P)``. A pair goes if
+the lesser of both is below the worst kth score so far among Q's queries. What is left meets in exact integer
+products; equal scores order by smaller vec_id. Each task gives k rows a query at most, and the best k of these
+are the result.
+
+Points whose net at half the radius needs more than ``MOST_CHILDREN`` centers stay one leaf, and
+two leaves meet in dense blocks. Vectors spread evenly over many dimensions are all of that kind: no
+ball or cone bound can rule any of them out, and the search is a blocked product of all pairs.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor does a
 null vec_id; vectors of unequal length count as padded with zeros; a query id that repeats is one
 query (its smallest vector in array order); candidates that repeat a vec_id are each a row and tie in any
-order; products beyond 64 bits raise an error. Other columns are not read.
+order; products beyond 64 bits raise an error, as do whole numbers beyond 2**53. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,34 +27,54 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._words import tidy
+from ._arrow import map_batches, whole
+from ._store import scratch_path
 
 SCALE, TOP, EVERY = 1024, 10, 100
-QUERY_BLOCK, CHUNK, LEAF, QUERY_LEAF = 8192, 4096, 32, 4
+QUERY_BYTES, CHUNK, LEAF, QUERY_LEAF = 16 << 20, 16384, 32, 4
+#: A node with more children would be in too many dimensions for its bounds to rule anything out.
+MOST_CHILDREN = 64
+#: Queries of two leaves that are multiplied at a time.
+_DENSE = 256
 
 
 class Node:
-    __slots__ = ("rows", "center", "norm", "radius", "children", "worst")
+    __slots__ = ("rows", "center", "norm", "radius", "cone", "least", "most", "children", "worst")
 
-    def __init__(self, rows: np.ndarray, center: np.ndarray, radius: float) -> None:
-        self.rows, self.center, self.radius = rows, center, radius
-        self.norm = float(np.sqrt(center @ center))
+    def __init__(self, rows: np.ndarray, points: np.ndarray, center: int) -> None:
+        self.rows, self.center = rows, points[center]
+        self.norm = float(np.sqrt(self.center @ self.center))
+        own = points[rows]
+        squares = (own * own).sum(axis=1)
+        products = own @ self.center
+        self.radius = float(np.sqrt(np.maximum(squares - 2 * products + self.norm**2, 0).max()))
+        norms = np.sqrt(squares)
+        self.least, self.most = float(norms.min()), float(norms.max())
+        scale = norms * self.norm
+        self.cone = float(np.arccos(np.clip(products / scale, -1, 1)).max()) if scale.min() > 0 else np.pi
         self.children: list[Node] = []
         self.worst = -np.inf
 
+    def bound(self, other: Node) -> float:
+        """No product of a vector below and one below ``other`` is larger."""
+        product = float(self.center @ other.center)
+        ball = product + self.radius * other.norm + other.radius * self.norm + self.radius * other.radius
+        scale = self.norm * other.norm
+        apart = float(np.arccos(min(1.0, max(-1.0, product / scale)))) if scale else 0.0
+        cosine = float(np.cos(max(0.0, apart - self.cone - other.cone)))
+        cone = cosine * (self.most * other.most if cosine > 0 else self.least * other.least)
+        b = min(ball, cone)
+        # room for rounding
+        return b + 1e-7 * self.most * other.most + 1
+
 
 def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node:
     """A cover tree on the rows of ``points`` (float64): children cover their points within half the parent's radius."""
-
-    def node(rows: np.ndarray, center: int) -> Node:
-        away = points[rows] - points[center]
-        return Node(rows, points[center], float(np.sqrt((away * away).sum(axis=1).max())))
-
-    root = node(np.arange(len(points)), 0)
+    root = Node(np.arange(len(points)), points, 0)
     todo = [root]
     while todo:
         top = todo.pop()
@@ -60,8 +86,8 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node:
         owner = np.zeros(len(own), dtype=np.int64)
         centers: list[int] = []
         at = int(np.argmin(((own - top.center) ** 2).sum(axis=1)))
-        # farthest point first until half the radius covers all, or points stand too far apart to gain from it
-        while len(centers) < max(64, len(own) // leaf * 2):
+        # farthest point first until half the radius covers all
+        for _ in range(max(MOST_CHILDREN, len(own) // 256)):
             far = np.maximum(squares + squares[at] - 2 * (own @ own[at]), 0)
             closer = far < nearest
             nearest[closer], owner[closer] = far[closer], len(centers)
@@ -69,13 +95,12 @@ def cover_tree(points: np.ndarray, leaf: int = LEAF) -> Node:
             at = int(np.argmax(nearest))
             if nearest[at] <= (top.radius / 2) ** 2:
                 break
-        for i, c in enumerate(centers):
-            rows = top.rows[owner == i]
-            if len(rows):
-                top.children.append(node(rows, int(top.rows[c])))
-        if len(top.children) == 1:
-            top.children = []
-        todo += top.children
+        else:
+            continue
+        children = [Node(top.rows[owner == i], points, int(top.rows[c])) for i, c in enumerate(centers) if (owner == i).any()]
+        if len(children) > 1:
+            top.children = children
+            todo += children
     return root
 
 
@@ -89,11 +114,15 @@ class Best:
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray) -> None:
         """Offer ``scores[i, j]`` of candidate ``ids[j]`` to query ``rows[i]`` where allowed."""
-        some = np.flatnonzero(((scores >= self.score[rows, -1:]) & allowed).any(axis=1))
-        for i in some:
+        good = (scores >= self.score[rows, -1:]) & allowed
+        for i in np.flatnonzero(good.any(axis=1)):
             r = rows[i]
-            ok = allowed[i] & (scores[i] >= self.score[r, -1])
-            s, d = np.concatenate([self.score[r], scores[i, ok]]), np.concatenate([self.ids[r], ids[ok]])
+            own = np.flatnonzero(good[i])
+            if len(own) > 4 * self.k:
+                # all that reach the kth largest, ties included
+                least = np.partition(scores[i, own], len(own) - self.k)[len(own) - self.k]
+                own = own[scores[i, own] >= least]
+            s, d = np.concatenate([self.score[r], scores[i, own]]), np.concatenate([self.ids[r], ids[own]])
             order = np.lexsort((d, -s))[: self.k]
             self.score[r], self.ids[r] = s[order], d[order]
 
@@ -106,26 +135,25 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, tree: Node, points:
     small = exact < 2**52
     done, tick = 0, 0
 
-    def bound(q: Node, p: Node) -> float:
-        b = float(q.center @ p.center) + q.radius * p.norm + p.radius * q.norm + q.radius * p.radius
-        return b + abs(b) * 1e-9 + 1
-
-    heap = [(-bound(own, tree), 0, own, tree)]
+    heap = [(-own.bound(tree), 0, own, tree)]
     while heap:
         negative, _, q, p = heapq.heappop(heap)
         q.worst = float(best.score[q.rows, -1].min())
         if -negative < q.worst:
             continue
         if not q.children and not p.children:
-            a, b = queries[q.rows], points[p.rows]
-            scores = np.rint(a @ b.T).astype(np.int64) if small else a.astype(np.int64) @ b.astype(np.int64).T
-            best.add(q.rows, scores, ids[p.rows], query_ids[q.rows][:, None] != ids[p.rows][None, :])
-            done += scores.size
+            b = points[p.rows]
+            for lo in range(0, len(q.rows), _DENSE):
+                rows = q.rows[lo : lo + _DENSE]
+                a = queries[rows]
+                scores = np.rint(a @ b.T).astype(np.int64) if small else a.astype(np.int64) @ b.astype(np.int64).T
+                best.add(rows, scores, ids[p.rows], query_ids[rows][:, None] != ids[p.rows][None, :])
+                done += scores.size
             continue
         split_p = p.children and (not q.children or p.radius * q.norm >= q.radius * p.norm)
         for q2, p2 in [(q, x) for x in p.children] if split_p else [(x, p) for x in q.children]:
             tick += 1
-            heapq.heappush(heap, (-bound(q2, p2), tick, q2, p2))
+            heapq.heappush(heap, (-q2.bound(p2), tick, q2, p2))
     return done
 
 
@@ -136,63 +164,67 @@ def _usable(df: DataFrame) -> DataFrame:
     return df.where(ok).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(e, lambda x: F.floor(x.cast("double") * SCALE).cast("double")).alias("v"))
 
 
-def _matrix(vectors, width: int) -> np.ndarray:
-    vectors = list(vectors)
-    if all(len(v) == width for v in vectors):
-        return np.array(vectors, dtype=np.float64).reshape(len(vectors), width)
+def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    """Vectors as rows of ``width`` numbers, padded with zeros and cut."""
+    size = np.diff(vectors.offsets.to_numpy())
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    if (size == width).all():
+        return flat.reshape(len(vectors), width)
     out = np.zeros((len(vectors), width))
-    for i, v in enumerate(vectors):
-        out[i, : min(width, len(v))] = v[:width]
+    row, at = np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    out[row[at < width], at[at < width]] = flat[at < width]
     return out
 
 
 def _search(block, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         query_ids, queries = block.value
         best = Best(len(query_ids), k)
         own = cover_tree(queries, QUERY_LEAF)
-        held: list[pd.DataFrame] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def search() -> None:
-            part = pd.concat(held)
-            points = _matrix(part["v"], queries.shape[1])
-            dual_search(queries, query_ids, cover_tree(points), points, part["vec_id"].to_numpy(), own, best)
-
-        for b in tidy(batches):
-            for lo in range(0, len(b), CHUNK):
-                held.append(b.iloc[lo : lo + CHUNK])
-                if sum(map(len, held)) >= CHUNK:
+            ids, points = (np.concatenate(x) for x in zip(*held, strict=True))
+            dual_search(queries, query_ids, cover_tree(points), points, ids, own, best)
+            held.clear()
+
+        for b in batches:
+            for lo in range(0, b.num_rows, CHUNK):
+                part = b.slice(lo, CHUNK)
+                held.append((whole(part, "vec_id"), _matrix(part.column("v"), queries.shape[1])))
+                if sum(len(i) for i, _ in held) >= CHUNK:
                     search()
-                    held = []
         if held:
             search()
         r, c = np.nonzero(best.ids != np.iinfo(np.int64).max)
-        yield pd.DataFrame({"query_id": query_ids[r], "vec_id": best.ids[r, c], "score": best.score[r, c]})
+        yield {"query_id": query_ids[r], "vec_id": best.ids[r, c], "score": best.score[r, c]}
 
     return run
 
 
-def top_products(vectors: DataFrame, every: int = EVERY, k: int = TOP) -> DataFrame:
+def top_products(vectors: DataFrame, every: int = EVERY, k: int = TOP, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best candidates of every row whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows = _usable(vectors.select("vec_id", "embedding"))
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = []
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    blocks = -(-n * 8 * (width or 0) // query_bytes)
+    found = None
     for i in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect()
-        if not own:
+        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow()
+        if not own.num_rows:
             continue
-        ids = np.array([r["vec_id"] for r in own], dtype=np.int64)
-        matrix = _matrix([r["v"] for r in own], max(len(r["v"]) for r in own))
-        # about QUERY_BLOCK vectors: a bound that does not grow with the table
-        parts.append(rows.mapInPandas(_search(spark.sparkContext.broadcast((ids, matrix)), k), "query_id bigint, vec_id bigint, score bigint"))
-    if not parts:
+        ids, matrix = own.column("vec_id").to_numpy(), _matrix(own.column("v").combine_chunks(), width)
+        # about query_bytes: a bound that does not grow with the table
+        sent = spark.sparkContext.broadcast((ids, matrix))
+        path = scratch_path(spark, "products")
+        part = map_batches(rows, _search(sent, k), "query_id bigint, vec_id bigint, score bigint")
+        part.write.parquet(path)
+        sent.destroy()
+        part = spark.read.schema(part.schema).parquet(path)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

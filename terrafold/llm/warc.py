@@ -2,16 +2,19 @@
 
 A file starts with a skippable frame (magic 0x184D2A5D) that holds a Zstandard
 dictionary, itself compressed; every record follows as a frame of its own, so a reader can start
-at any record once it has the dictionary. The dictionary is trained once on a bounded, keyed sample of
-the archived payloads (about ``SAMPLE_ROWS`` rows of at most ``SAMPLE_BYTES`` each).
+at any record once it has the dictionary. The dictionary is trained once on the archived records
+themselves (headers, revisits and all): a keyed sample of about ``SAMPLE_ROWS`` rows, the same ones in every
+run, each record whole where it has at most ``SAMPLE_BYTES`` and else its head and its tail. That is the fit of
+a model on a bounded sample; every record is archived whole.
 
 Equal payloads of at least ``least`` bytes are archived once: the largest ``page_id`` is the
 ``response``, the others are ``revisit`` records that refer to it and carry no payload but its
-length and digest. Files are written by the tasks through the cluster's shared store under private
+length and digest. Only digests and ids meet by key, and the ids of repeated pages then join the pages by
+``page_id``, so copies of one payload, however many, stay where they are. Files are written by the tasks through the cluster's shared store under private
 names and renamed when complete, so a task that runs again replaces its own file.
 
-Defined results: null html is an empty payload; rows that repeat a page_id with equal payloads are
-one response and revisits that refer to their own id; a null page_id is archived as
+Defined results: null html is an empty payload; rows that repeat a page_id with equal payloads have one type, a
+response each where their id is the payload's largest; a null page_id is archived as
 a response and never referred to unless all its equals are null too; an empty table writes no file and
 reads back empty. Other columns than page_id, url and html are not read; a null url is an empty header.
 """
@@ -24,18 +27,19 @@ import io
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import tidy
+from ._arrow import map_batches
+from ._store import stored
 
 MAGIC = 0x184D2A5D
 LEVEL, DICT_BYTES = 3, 64 << 10
-SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 16 << 10
+SAMPLE_ROWS, SAMPLE_BYTES = 1_500, 4 << 10
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -120,24 +124,45 @@ def read_archive(stream) -> Iterator[dict]:
 
 
 def with_types(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Add record_type and refers_to; the digests of repeated payloads alone meet by key."""
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    one = pages.select("page_id", "digest").where(F.octet_length("html") >= least) if least else pages.select("page_id", "digest")
-    repeated = one.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("m")).where("m > 1").select("digest", "last")
-    joined = pages.join(repeated, "digest", "left")
-    other = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id")) & F.col("page_id").isNotNull()
-    return joined.select("page_id", "url", "html", F.when(other, "revisit").otherwise("response").alias("record_type"), F.when(other, F.col("last")).alias("refers_to"))
+    """``(page_id, url, html, record_type, refers_to)``; of a payload's copies the largest page_id is the response."""
+    digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+    long = F.octet_length(F.coalesce("html", F.lit(""))) >= least
+    # keys alone, once; both joins read tables, which adaptive execution splits where a digest or an id is hot
+    keys, _ = stored(pages.where("page_id IS NOT NULL").where(long).select("page_id", digest.alias("digest")), "digests")
+    repeated, _ = stored(keys.groupBy("digest").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1"), "repeated")
+    # a page_id may repeat, with one payload or several
+    revisits, _ = stored(keys.join(repeated.where("first <> last"), "digest").where("page_id <> last").select("page_id", "digest", "last").distinct(), "revisits")
+    named = pages.select(F.col("page_id").alias("id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("own", F.sha1(F.col("html").cast("binary")))
+    joined = named.join(revisits, (F.col("id") == F.col("page_id")) & (F.col("own") == F.col("digest")), "left")
+    typed = joined.select(F.col("id").alias("page_id"), "url", "html", "own", "last")
+    typed = typed.select("page_id", "url", "html", F.when(F.col("last").isNotNull(), "revisit").otherwise("response").alias("record_type"), F.col("last").alias("refers_to"))
+    return typed
+
+
+def _sampled(page_id: int | None, url: str | None, html: str, kind: str, refers: int | None) -> bytes:
+    whole = record(kind, page_id, url, html.encode(), refers)
+    return whole if len(whole) <= SAMPLE_BYTES else whole[: SAMPLE_BYTES // 2] + whole[-SAMPLE_BYTES // 2 :]
+
+
+def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        yield {"h": b.column("h"), "record": [_sampled(*r) for r in zip(*(b.column(c).to_pylist() for c in _COLUMNS), strict=True)]}
+
+
+_COLUMNS = ("page_id", "url", "html", "record_type", "refers_to")
 
 
 def write_archives(pages: DataFrame, root: str, least: int = 0) -> DataFrame:
     """Write ``pages`` as archives below ``root`` (a URI); one row (path, records, bytes) per file."""
     n = pages.count()
-    sample = pages.select(F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES // 4).alias("html"), F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)).alias("h"))
-    # about SAMPLE_ROWS rows of bounded length wherever they lie, the same ones in every run
-    rows = sample.where(F.col("h") <= int((1 << 30) * SAMPLE_ROWS / max(n, 1))).limit(2 * SAMPLE_ROWS).collect()
-    raw = train([html.encode() for _, html in sorted((r["h"], r["html"]) for r in rows)])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    typed = with_types(pages, least)
+    h = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30))
+    # about SAMPLE_ROWS rows of bounded length wherever they lie, by a hash threshold: the same ones in every run
+    some = typed.where(h <= int((1 << 30) * SAMPLE_ROWS / max(n, 1)))
+    rows = map_batches(some.withColumn("h", h), _samples, "h bigint, record binary").collect()
+    raw = train([bytes(x) for _, x in sorted((r["h"], bytes(r["record"])) for r in rows)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         store, base = pafs.FileSystem.from_uri(root)
         store.create_dir(base, recursive=True)
         dictionary = _dictionary(raw)
@@ -145,29 +170,30 @@ def write_archives(pages: DataFrame, root: str, least: int = 0) -> DataFrame:
         task = TaskContext.get()
         temp, path = f"{base}/.part-{task.partitionId():06d}-{task.taskAttemptId()}", f"{base}/part-{task.partitionId():06d}.warc.zst"
         out, n, size = None, 0, 0
-        for b in tidy(batches):
-            for page_id, url, html, kind, refers in b.itertuples(index=False, name=None):
+        for b in batches:
+            for page_id, url, html, kind, refers in zip(*(b.column(c).to_pylist() for c in _COLUMNS), strict=True):
                 if out is None:
                     out = store.open_output_stream(temp, compression=None)
                     out.write(dictionary_frame(raw))
-                frame = packer.compress(record(kind, None if pd.isna(page_id) else page_id, url, html.encode(), None if pd.isna(refers) else refers))
+                frame = packer.compress(record(kind, page_id, url, html.encode(), refers))
                 out.write(frame)
                 n, size = n + 1, size + len(frame)
         if out is not None:
             out.close()
             store.move(temp, path)
-            yield pd.DataFrame({"path": [path], "records": [n], "bytes": [size]})
+            yield {"path": [path], "records": [n], "bytes": [size]}
 
-    return with_types(pages, least).mapInPandas(run, "path string, records bigint, bytes bigint")
+    return map_batches(typed, run, "path string, records bigint, bytes bigint")
 
 
 def read_archives(spark, root: str, paths: DataFrame) -> DataFrame:
     """One row per record of the archives listed in ``paths(path)``, a task reads whole files as streams."""
+    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         store, _ = pafs.FileSystem.from_uri(root)
-        for b in tidy(batches):
-            for path in b["path"]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
                 rows = []
                 with store.open_input_stream(path, compression=None) as f:
                     for r in read_archive(f):
@@ -175,12 +201,9 @@ def read_archives(spark, root: str, paths: DataFrame) -> DataFrame:
                         revisit = h["warc-type"] == "revisit"
                         rows.append((_page_id(h["warc-record-id"]), int(h["x-payload-length"]) if revisit else len(r["payload"]), h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], _page_id(h["warc-refers-to"]) if revisit else None))
                         if len(rows) >= 5_000:
-                            yield _frame(rows)
+                            yield dict(zip(names, zip(*rows, strict=True), strict=True))
                             rows = []
-                yield _frame(rows)
-
-    return paths.mapInPandas(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
-
+                if rows:
+                    yield dict(zip(names, zip(*rows, strict=True), strict=True))
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+    return map_batches(paths.select("path"), run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
