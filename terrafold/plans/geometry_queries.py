@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric
@@ -47,7 +48,17 @@ def adaptive_partition(spark, sf):
     return geometry.adaptive_partition(fx.points(spark, sf), 100).select("frame_id", "point_id", "sp_id")
 
 
-@query()
+def _pass_sql(i: int) -> str:
+    """Correction i of the partition's voxel size, as geometry.adaptive_partition makes it."""
+    return f"""q{i} AS MATERIALIZED (SELECT p.*, n, size FROM points p JOIN z{i} USING (frame_id)), {fx.segmented_sql('greatest(size, 1e-6)', f'q{i}', f't{i}')},
+f{i} AS (SELECT frame_id, max(sp_id) + 1 AS found FROM t{i} GROUP BY frame_id),
+z{i + 1} AS MATERIALIZED (SELECT frame_id, n, CASE WHEN found > 1.30::DOUBLE * 60 THEN size * pow(found::DOUBLE / 60, 1::DOUBLE / 3) ELSE size END AS size FROM z{i} JOIN f{i} USING (frame_id))"""
+
+
+@query(f"""WITH {fx.POINTS},
+z0 AS (SELECT frame_id, count(*) AS n, greatest(0.45::DOUBLE, pow(greatest(max(x) - min(x), 1e-6) * greatest(max(y) - min(y), 1e-6) * greatest(max(z) - min(z), 1e-6), 1::DOUBLE / 3) / pow(60::DOUBLE, 1::DOUBLE / 3)) AS size FROM points GROUP BY frame_id),
+{', '.join(_pass_sql(i) for i in range(4))}, last AS (SELECT p.*, n, size FROM points p JOIN z4 USING (frame_id)), {fx.segmented_sql('greatest(size, 1e-6)', 'last', 'own')}
+SELECT frame_id, point_id, CASE WHEN n <= 60 THEN row_number() OVER (PARTITION BY frame_id ORDER BY point_id) - 1 ELSE sp_id END AS sp_id FROM own""")
 def adaptive_partition_iterated(spark, sf):
     return geometry.adaptive_partition(fx.points(spark, sf), 60, least=0.45, overshoot=1.30, passes=4).select("frame_id", "point_id", "sp_id")
 
@@ -275,10 +286,22 @@ def edge_weights(spark, sf):
     return fx.edges(spark, sf).groupBy("frame_id").agg(F.count(F.lit(1)).alias("edges"), (F.rint(F.avg("w") * 1e3) / 1e3).alias("w"))
 
 
-@query()
+_PLAIN = ["var_i", "log_n", "cx", "cy", "cz"]
+
+
+# shapes of tiny segments amplify rounding: they are compared as means, everything else edge by edge
+@query(f"""WITH {fx.GEOMETRY}, {fx.MAJORITY}, {fx.KNN}, z AS (SELECT frame_id, sp_id, {_Z} FROM nodes WINDOW w AS (PARTITION BY frame_id)), e AS (SELECT k.frame_id, src, dst, {', '.join(f'abs(a.{c} - b.{c}) AS {c}' for c in (*geometry.GATE, 'cx', 'cy', 'cz'))}, {_gap(('cx', 'cy', 'cz'))} AS far, l.label = m.label AND l.label <> 0 AS same
+FROM knn k JOIN z a ON a.frame_id = k.frame_id AND a.sp_id = src JOIN z b ON b.frame_id = k.frame_id AND b.sp_id = dst JOIN majority l ON l.frame_id = k.frame_id AND l.sp_id = src JOIN majority m ON m.frame_id = k.frame_id AND m.sp_id = dst),
+d AS (SELECT *, sqrt({' + '.join(f'{c} * {c}' for c in (*geometry.GATE, 'cx', 'cy', 'cz', 'far'))}) AS d FROM e), w AS (SELECT *, exp(-d / greatest(quantile_disc(d, 0.5) OVER (PARTITION BY frame_id), 1e-6)) AS w FROM d)
+SELECT frame_id, src, dst, {', '.join(f'{r6(c)} AS {c}' for c in _PLAIN)}, {r6('far')} AS far, same, {', '.join(f'round_even(avg({c}) OVER f * 100, 0) / 100 AS mean_{c}' for c in ('linearity', 'planarity', 'scattering', 'w'))} FROM w WINDOW f AS (PARTITION BY frame_id)""")
 def edge_features(spark, sf):
     n = fx.nodes(spark, sf)
-    return geometry.edge_features(geometry.knn_edges(n), n)
+    e = geometry.edge_features(geometry.knn_edges(n), n)
+    names = [*geometry.GATE, "cx", "cy", "cz", "far"]
+    e = e.select("frame_id", "src", "dst", "same", "w", *[F.col("features")[i].alias(c) for i, c in enumerate(names)])
+    own = Window.partitionBy("frame_id")
+    means = [(F.rint(F.avg(c).over(own) * 100) / 100).alias(f"mean_{c}") for c in ("linearity", "planarity", "scattering", "w")]
+    return rounded(e.select("frame_id", "src", "dst", *_PLAIN, "far", "same", *means), *_PLAIN, "far")
 
 
 _AFF = f"""{fx.GEOMETRY}, {fx.KNN}, zp AS (SELECT frame_id, sp_id, log_n, {', '.join(f'({c} - avg({c}) OVER w) / greatest(stddev_pop({c}) OVER w, 1e-6) AS {c}' for c in ('cx', 'cy', 'cz'))} FROM nodes WINDOW w AS (PARTITION BY frame_id)),
@@ -297,13 +320,13 @@ def graph_affinity(spark, sf):
     return rounded(_affinity(spark, sf), "w")
 
 
-@query(f"""WITH {fx.POINTS}, site AS (SELECT frame_id, point_id AS site_id, x AS sx, y AS sy, z AS sz FROM points WHERE point_id % 10 = 0), asked AS (SELECT * FROM points WHERE point_id % 10 <> 0),
-d AS (SELECT a.frame_id, a.point_id, site_id, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)) AS dist FROM asked a JOIN site s ON a.frame_id = s.frame_id AND s.sx BETWEEN x - 1 AND x + 1)
+# all points against the centres of all segments
+@query(f"""WITH {fx.GEOMETRY}, site AS (SELECT frame_id, sp_id AS site_id, cx AS sx, cy AS sy, cz AS sz FROM nodes),
+d AS (SELECT a.frame_id, a.point_id, site_id, sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy) + (z - sz) * (z - sz)) AS dist FROM points a JOIN site s ON a.frame_id = s.frame_id AND s.sx BETWEEN x - 1 AND x + 1)
 SELECT frame_id, point_id, site_id, {r6s('dist')} FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, point_id ORDER BY dist, site_id) AS r FROM d WHERE dist <= 1) WHERE r = 1""")
 def nearest_within_radius(spark, sf):
-    p = fx.points(spark, sf)
-    sites = p.where("point_id % 10 = 0").withColumnRenamed("point_id", "site_id")
-    return rounded(geometry.nearest_within(p.where("point_id % 10 <> 0"), sites, 1.0), "dist")
+    sites = geometry.superpoint_geometry(fx.segmented(spark, sf)).select("frame_id", F.col("sp_id").alias("site_id"), *[F.col(f"c{a}").alias(a) for a in "xyz"])
+    return rounded(geometry.nearest_within(fx.points(spark, sf), sites, 1.0), "dist")
 
 
 @query(f"WITH {fx.GEOMETRY}, q AS (SELECT frame_id, quantile_cont(cz, 0.02) AS lo, quantile_cont(cz, 0.98) AS hi, min(log_n) AS a, max(log_n) AS b FROM nodes GROUP BY ALL) SELECT frame_id, sp_id, {r6('least(greatest((cz - lo) / greatest(hi - lo, 1e-6), 0), 1)')} AS cz, {r6('(log_n - a) / greatest(b - a, 1e-6)')} AS log_n FROM nodes JOIN q USING (frame_id)")
@@ -415,17 +438,43 @@ def smooth_labels(spark, sf):
     return graph.smooth_labels(labels, e)
 
 
-@query()
+_REFINE_EDGES = """seat AS MATERIALIZED (SELECT frame_id, sp_id, max(CASE WHEN term_idx = 0 THEN score END) AS cx, max(CASE WHEN term_idx = 1 THEN score END) AS cy, max(CASE WHEN term_idx = 2 THEN score END) AS cz, bool_and(valid) AS valid FROM ev GROUP BY ALL),
+far AS (SELECT a.frame_id, a.sp_id AS src, b.sp_id AS dst, a.valid AND b.valid AS both_valid, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) + (a.cz - b.cz) * (a.cz - b.cz)) AS dist FROM seat a JOIN seat b ON a.frame_id = b.frame_id AND a.sp_id <> b.sp_id),
+links AS MATERIALIZED (SELECT frame_id, src, dst, exp(-dist) AS w FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, src ORDER BY dist, dst) AS r FROM far) WHERE r <= 4 AND both_valid)"""
+
+
+def _softmax_sql(source: str, out: str) -> str:
+    own = "OVER (PARTITION BY frame_id, sp_id)"
+    return f"{out} AS MATERIALIZED (SELECT frame_id, sp_id, term_idx, e / sum(e) {own} AS p FROM (SELECT *, exp(s - max(s) {own}) AS e FROM {source}))"
+
+
+def _round_sql(i: int, weights: str) -> str:
+    """One round: the unary mixed with the log of the neighbours' mean opinion, by each segment's share."""
+    return f"""{_softmax_sql(f's{i}', f'o{i}')}, m{i} AS (SELECT l.frame_id, l.src AS sp_id, o.term_idx, sum(l.w * o.p) AS m FROM {weights} l JOIN o{i} o ON o.frame_id = l.frame_id AND o.sp_id = l.dst GROUP BY ALL),
+s{i + 1} AS MATERIALIZED (SELECT u.frame_id, u.sp_id, u.term_idx, CASE WHEN valid THEN (1 - share) * u.s + share * ln(greatest(coalesce(m, 0) / greatest(coalesce(total, 0), 1e-8), 1e-8)) ELSE -30::DOUBLE END AS s
+FROM u JOIN shares USING (frame_id, sp_id) LEFT JOIN m{i} USING (frame_id, sp_id, term_idx))"""
+
+
+def _refine_sql(unary: str, weights: str, conf: str, share: str) -> str:
+    rounds = ", ".join(_round_sql(i, weights) for i in range(5))
+    return f"""u AS MATERIALIZED (SELECT frame_id, sp_id, term_idx, valid, {unary} AS s FROM ev), s0 AS (SELECT frame_id, sp_id, term_idx, CASE WHEN valid THEN s ELSE -30::DOUBLE END AS s FROM u), {_softmax_sql('u', 'up')}, {_softmax_sql('s0', 'vp')}, conf AS (SELECT frame_id, sp_id, max(p) AS conf FROM {conf} GROUP BY ALL),
+agree AS MATERIALIZED (SELECT l.frame_id, src, dst, w, sum(a.p * b.p) AS agree FROM links l JOIN vp a ON a.frame_id = l.frame_id AND a.sp_id = src JOIN vp b ON b.frame_id = l.frame_id AND b.sp_id = dst AND b.term_idx = a.term_idx GROUP BY ALL),
+plain AS (SELECT frame_id, src, dst, greatest(w, 1e-6) AS w FROM links), semantic AS MATERIALIZED (SELECT frame_id, src, dst, greatest(w * pow(greatest(least(agree, 1), 1e-4), 1.6), 1e-8) AS w FROM agree),
+totals AS (SELECT seat.frame_id, seat.sp_id, coalesce(t, 0) AS total FROM seat LEFT JOIN (SELECT frame_id, src AS sp_id, sum(w) AS t FROM {weights} GROUP BY ALL) USING (frame_id, sp_id)), mids AS (SELECT frame_id, quantile_disc(total, 0.5) AS middle FROM totals GROUP BY ALL),
+shares AS MATERIALIZED (SELECT frame_id, sp_id, total, {share} AS share FROM totals JOIN conf USING (frame_id, sp_id) JOIN mids USING (frame_id)), {rounds} SELECT frame_id, sp_id, term_idx, {r6('s')} AS score FROM s5"""
+
+
+@query(f"WITH {fx.EVIDENCE}, {_REFINE_EDGES}, {_refine_sql('(0.62 * score + 0.38 * (score * 0.9::DOUBLE)) / 0.035', 'plain', 'up', '0.55 * least(greatest(1 - conf, 0), 0.85)')}")
 def geometry_refine(spark, sf):
     ev = fx.evidence(spark, sf)
     n = ev.select("frame_id", "sp_id", "term_idx", F.col("score").alias("small"), (F.col("score") * 0.9).alias("large"), "valid")
-    return graph.geometry_refine(n, _evidence_edges(ev))
+    return rounded(graph.geometry_refine(n, _evidence_edges(ev)), "score")
 
 
-@query()
+@query(f"WITH {fx.EVIDENCE}, {_REFINE_EDGES}, {_refine_sql('score / 0.08::DOUBLE', 'semantic', 'vp', '0.58 * least(greatest(1 - conf, 0), 0.85) * least(total / greatest(middle, 1e-6), 1)')}")
 def semantic_refine(spark, sf):
     ev = fx.evidence(spark, sf)
-    return graph.semantic_refine(ev.select("frame_id", "sp_id", "term_idx", "score", "valid"), _evidence_edges(ev))
+    return rounded(graph.semantic_refine(ev.select("frame_id", "sp_id", "term_idx", "score", "valid"), _evidence_edges(ev)), "score")
 
 
 def _evidence_edges(ev):

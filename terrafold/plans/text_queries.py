@@ -201,13 +201,13 @@ def verify_vocabulary(spark, sf):
     return rounded(vocab.verify_terms(vocab.score_terms(ev, _term_table(ev)), 4, 0.45).select("frame_id", "term", "score", "rank", "verified"), "score")
 
 
-_VOC = "v AS (SELECT 'b' || (p_partkey % 12) AS frame_id, ['houses', 'Roof', 'cars', 'tree', 'lawn', 'street', 'river', 'fences', 'gizmo', 'terrain', 'shadow'][p_partkey * 7 % 11 + 1] AS term, p_partkey % 3 AS side FROM part)"
+_VOC = "v AS (SELECT 'b' || (p_partkey % 13) AS frame_id, ['houses', 'Roof', 'cars', 'tree', 'lawn', 'street', 'river', 'fences', 'gizmo', 'terrain', 'shadow'][p_partkey * 7 % 11 + 1] AS term, p_partkey % 3 AS side FROM part)"
 _EXP = "MAP {" + ", ".join(f"'{k}': [" + ", ".join(f"'{x}'" for x in v) + "]" for k, v in GT_EXPANSION.items()) + "}"
 
 
 def _vocabularies(spark, sf):
     names = F.array(*map(F.lit, ("houses", "Roof", "cars", "tree", "lawn", "street", "river", "fences", "gizmo", "terrain", "shadow")))
-    v = fx.load(spark, sf, "part").select(F.concat(F.lit("b"), (F.col("p_partkey") % 12).cast("string")).alias("frame_id"), F.element_at(names, (F.col("p_partkey") * 7 % 11 + 1).cast("int")).alias("term"), (F.col("p_partkey") % 3).alias("side"), F.col("p_partkey").alias("pos"))
+    v = fx.load(spark, sf, "part").select(F.concat(F.lit("b"), (F.col("p_partkey") % 13).cast("string")).alias("frame_id"), F.element_at(names, (F.col("p_partkey") * 7 % 11 + 1).cast("int")).alias("term"), (F.col("p_partkey") % 3).alias("side"), F.col("p_partkey").alias("pos"))
     return v.where("side = 0"), v.where("side > 0")
 
 
