@@ -246,3 +246,19 @@ def cut_objective(labels: DataFrame, edges: DataFrame, silhouettes: DataFrame) -
 def best_candidate(objectives: DataFrame) -> DataFrame:
     """The candidate of largest objective per frame, the first of equals."""
     return objectives.groupBy("frame_id").agg(F.max_by("candidate", F.struct("objective", -F.col("candidate"))).alias("candidate"), F.max("objective").alias("objective"))
+
+
+def cube_means(report: DataFrame, keys: list[str], metric: str) -> DataFrame:
+    """Mean and count of ``metric`` for every combination of ``keys``, totals (null keys) included; ``level`` tells them from null keys."""
+    return report.cube(*keys).agg(F.avg(metric).alias("mean"), F.count(metric).alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
+def grouping_means(report: DataFrame, sets: list[list[str]], metric: str) -> DataFrame:
+    """As ``cube_means`` for just these sets of keys."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    return report.groupingSets([[F.col(k) for k in s] for s in sets], *keys).agg(F.avg(metric).alias("mean"), F.count(metric).alias("n"))
+
+
+def approximate(report: DataFrame, by: str, key: str, metric: str, error: float = 0.02) -> DataFrame:
+    """Per group the approximate number of distinct keys and median, from mergeable sketches."""
+    return report.groupBy(by).agg(F.approx_count_distinct(key, error).alias("keys"), F.percentile_approx(metric, 0.5, int(1 / error) * 10).alias("median"))

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import CORE_TAGS, FALLBACK_TAGS, GT_EXPANSION, PROMPT_GROUPS, TERM_CLASSES
 from ..functions.numeric import EPS
 from ..functions.text import normalize_term, phrase_candidates, prompts_for, rs_tags, simple_clean
-
-#: A caption's place and a term's place in it, as one number that keeps their order.
-_PLACE = 100_000
+from .lineage import small
 
 
 def caption_phrases(captions: DataFrame, max_words: int = 5) -> DataFrame:
@@ -24,7 +22,7 @@ def term_frequency(captions: DataFrame, max_tags: int = 24, max_words: int = 5,
 
 
 def _ranked(phrases: DataFrame, max_tags: int, min_frequency: int = 1) -> DataFrame:
-    place = F.col("caption_idx").cast("bigint") * _PLACE + F.col("pos")
+    place = F.struct("caption_idx", "pos")
     counts = phrases.groupBy("frame_id", "term").agg(F.count(F.lit(1)).alias("freq"), F.min(place).alias("first"))
     w = Window.partitionBy("frame_id").orderBy((F.col("freq") >= min_frequency).desc(), F.col("freq").desc(), "first")
     rank = F.row_number().over(w)
@@ -72,7 +70,7 @@ def caption_matches(captions: DataFrame, names: DataFrame) -> DataFrame:
     """(frame_id, name): candidate names that stand as whole words in a frame's joined captions."""
     text = captions.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("caption_idx", "text"))).alias("c")).select("frame_id", F.lower(F.array_join(F.transform("c", lambda s: s["text"]), " ")).alias("text"))
     # names: a configuration of a few hundred rows
-    return text.crossJoin(F.broadcast(names.select("name"))).where(F.expr(r"text rlike concat('\\b', name, '\\b')")).select("frame_id", "name")
+    return text.crossJoin(small(names.select("name"))).where(F.expr(r"text rlike concat('\\b', name, '\\b')")).select("frame_id", "name")
 
 
 def merge_terms(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -88,8 +86,9 @@ def harvest_tags(frames: DataFrame, tags: DataFrame, max_tags: int) -> DataFrame
     ``tags`` is (frame_id, pos, term); a tag is usable if it has a class or prompts.
     """
     known = sorted({*TERM_CLASSES, *PROMPT_GROUPS})
-    own = tags.select("frame_id", simple_clean(F.col("term")).alias("term"), F.struct(F.lit(0), F.col("pos").cast("bigint")).alias("p")).where(F.col("term").isin(known))
-    listed = lambda names, place: F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.struct(F.lit(place), F.lit(i).cast("bigint")).alias("p")) for i, t in enumerate(names)])).alias("t")
+    own = tags.select("frame_id", simple_clean(F.col("term")).alias("term"), F.struct(F.lit(0).alias("list"), "pos").alias("p")).where(F.col("term").isin(known))
+    kind = tags.schema["pos"].dataType.simpleString()
+    listed = lambda names, place: F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.struct(F.lit(place).alias("list"), F.lit(i).cast(kind).alias("pos")).alias("p")) for i, t in enumerate(names)])).alias("t")
     spare = frames.select("frame_id").join(own.select("frame_id").distinct(), "frame_id", "left_anti").select("frame_id", listed(FALLBACK_TAGS, 1)).select("frame_id", "t.*")
     core = frames.select("frame_id", listed([t for t in CORE_TAGS if t in known], 2)).select("frame_id", "t.*")
     first = own.unionByName(spare).unionByName(core).groupBy("frame_id", "term").agg(F.min("p").alias("p"))
@@ -151,7 +150,7 @@ def nearest_label(items: DataFrame, labels: DataFrame, vector: str, threshold: f
     """
     from ..functions.numeric import cosine
 
-    pairs = items.crossJoin(F.broadcast(labels.select("place", "class_id", F.col("v").alias("label_v"))))
+    pairs = items.crossJoin(small(labels.select("place", "class_id", F.col("v").alias("label_v"))))
     scored = pairs.withColumn("similarity", cosine(F.col(vector), F.col("label_v")))
     best = scored.groupBy("id").agg(F.max_by(F.struct("class_id", "similarity"), F.struct("similarity", -F.col("place"))).alias("b"))
     return best.select("id", F.when(F.col("b.similarity") >= threshold, F.col("b.class_id")).otherwise(0).alias("class_id"), F.col("b.similarity").alias("similarity"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evidence_queries, geometry_queries, protocol_queries, text_queries
+from . import evidence_queries, frame_queries, geometry_queries, protocol_queries, text_queries
 from .registry import QUERIES, SQL, Query
 
-MODULES = (geometry_queries, evidence_queries, text_queries, protocol_queries)
+MODULES = (geometry_queries, evidence_queries, text_queries, frame_queries, protocol_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -232,13 +232,6 @@ def ontology_prior(spark, sf):
     return rounded(segment.ontology_prior(geometry.superpoint_geometry(p).join(rgb, SEGMENT), terms), "prior")
 
 
-@query()
-def calibrated_scores(spark, sf):
-    ev = fx.evidence(spark, sf)
-    prior = ev.withColumn("prior", F.col("score") * 0.5)
-    return segment.calibrate(ev, prior, 0.2).select(*SEGMENT, "term_idx", "score")
-
-
 # metrics ---------------------------------------------------------------------------------------------------------------
 
 _HIST = f"hist AS (SELECT gt, CASE WHEN pred IN ({fx.CLASS_LIST}) THEN pred ELSE -1 END AS pred, count(*) AS n FROM rows WHERE gt IN ({fx.CLASS_LIST}) GROUP BY ALL)"

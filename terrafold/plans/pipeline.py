@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import geometry, lifting, metrics, project, segment, vocab
-from ..operators.lineage import written
+from ..operators.lineage import small, written
 
 VARIANTS = ("center", "mean", "q75", "top", "fixed_qfe", "rank_qfe", "equal_rank")
 
@@ -47,8 +47,9 @@ def lifted(points: DataFrame, raster: DataFrame, terms: DataFrame, priors: DataF
     seen = project.footprint(project.with_projection(own, **protocol.camera), w, h)
     at = nodes.select("frame_id", "sp_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
     mids = project.footprint(project.with_projection(at, **protocol.camera), w, h)
-    samples = project.sample_pixels(seen.crossJoin(F.broadcast(terms)), raster, protocol.terms_key)
-    centers = project.sample_pixels(mids.crossJoin(F.broadcast(terms)), raster, protocol.terms_key).withColumnRenamed("score", "center")
+    terms = small(terms)
+    samples = project.sample_pixels(seen.crossJoin(terms), raster, protocol.terms_key)
+    centers = project.sample_pixels(mids.crossJoin(terms), raster, protocol.terms_key).withColumnRenamed("score", "center")
     stats = lifting.evidence_stats(samples, centers.select("frame_id", "sp_id", "term", "term_idx", "center"))
     return own, written(lifting.equal_rank(lifting.lift(stats), priors), "evidence"), lifting.footprint_validity(seen)
 
@@ -57,7 +58,7 @@ def evaluate(points: DataFrame, evidence: DataFrame, validity: DataFrame, mapper
     """(variant, mapper, miou, macc, oa); ``mappers`` is (mapper, term, class_id), ``points`` has the truth in ``gt``."""
     stacked = ", ".join(f"'{v}', {v}" for v in protocol.variants)
     long = evidence.selectExpr("frame_id", "sp_id", "term", f"stack({len(protocol.variants)}, {stacked}) AS (variant, score)")
-    best = long.join(F.broadcast(mappers.where(F.col("class_id").isin(protocol.classes))), "term").groupBy("frame_id", "sp_id", "variant", "mapper", "class_id").agg(F.max("score").alias("score"))
+    best = long.join(small(mappers.where(F.col("class_id").isin(protocol.classes))), "term").groupBy("frame_id", "sp_id", "variant", "mapper", "class_id").agg(F.max("score").alias("score"))
     place = F.array_position(F.array(*map(F.lit, protocol.classes)), F.col("class_id"))
     label = best.groupBy("frame_id", "sp_id", "variant", "mapper").agg(F.max_by("class_id", F.struct("score", -place)).alias("class_id"), F.max("score").alias("score"))
     label = label.join(validity.select("frame_id", "sp_id", "sp_valid"), ["frame_id", "sp_id"]).withColumn("pred", F.when(F.col("sp_valid") & (F.col("score") > -29.0), F.col("class_id")).otherwise(0))

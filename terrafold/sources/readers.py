@@ -140,15 +140,26 @@ def flatten(value) -> list[str]:
 
 def captions(spark: SparkSession, path: str) -> DataFrame:
     """(key, caption_idx, text) of caption JSON files, objects keyed by frame, of any depth."""
+    # an object's values are rows before anything is parsed in full
     files = spark.read.text(path, wholetext=True)
+    return flattened(files.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value")))
+
+
+def flattened(values: DataFrame) -> DataFrame:
+    """(key, caption_idx, text) of ``values(key, value)``: all texts of each nested JSON value, caption-like keys first."""
+
+    def parsed(raw: str):
+        try:
+            return json.loads(raw)
+        except ValueError:
+            return raw
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for raw in b["value"]:
-                rows = [(k, i, t) for k, v in json.loads(raw).items() for i, t in enumerate(flatten(v))]
-                yield pd.DataFrame(rows, columns=["key", "caption_idx", "text"])
+            rows = [(k, i, t) for k, raw in zip(b["key"], b["value"], strict=True) if raw is not None for i, t in enumerate(flatten(parsed(raw)))]
+            yield pd.DataFrame(rows, columns=["key", "caption_idx", "text"])
 
-    return files.mapInPandas(run, "key string, caption_idx int, text string")
+    return values.select("key", "value").mapInPandas(run, "key string, caption_idx int, text string")
 
 
 def dataset_probe(files: DataFrame, keywords: list[str]) -> DataFrame:

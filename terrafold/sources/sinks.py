@@ -61,3 +61,29 @@ def leaderboard(report: DataFrame, metric: str, n: int) -> DataFrame:
 def best_per(report: DataFrame, by: str, metric: str, name: str) -> DataFrame:
     """The best row of each group: what a bar chart per mapper shows."""
     return report.groupBy(by).agg(F.max_by(name, metric).alias(name), F.max(metric).alias(metric))
+
+
+def save_npy(predictions: DataFrame, root: str, value: str = "label", by: str = "frame_id", order: str = "point_id") -> DataFrame:
+    """One ``<frame>.npy`` of ``value`` in order of ``order`` per frame below ``root`` (a URI): (frame, path, rows). A frame is one array in its task.
+
+    Files are written under a private name and renamed, so a task that runs again replaces its own.
+    """
+    import io
+    import uuid
+
+    import numpy as np
+    import pandas as pd
+    from pyarrow import fs as pafs
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        store, base = pafs.FileSystem.from_uri(root)
+        store.create_dir(base, recursive=True)
+        raw = io.BytesIO()
+        np.save(raw, rows.sort_values(order)[value].to_numpy())
+        path, temp = f"{base}/{key[0]}.npy", f"{base}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(temp, compression=None) as f:
+            f.write(raw.getvalue())
+        store.move(temp, path)
+        return pd.DataFrame({"frame": [str(key[0])], "path": [path], "rows": [len(rows)]})
+
+    return predictions.select(by, order, value).groupBy(by).applyInPandas(run, "frame string, path string, rows bigint")
