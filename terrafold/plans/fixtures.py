@@ -145,6 +145,18 @@ def segmented_sql(size: str = "3::DOUBLE", source: str = "points", out: str = "s
 
 SP = f"{POINTS}, {segmented_sql()}"
 
+
+def adaptive_sql(target: int, least: float = 0.8, overshoot: float = 1.25, out: str = "sp") -> str:
+    """The partition of geometry.adaptive_partition, with the same columns as ``segmented_sql`` gives."""
+    volume = " * ".join(f"greatest(max({a}) - min({a}), 1e-6)" for a in "xyz")
+    return f"""size_1 AS (SELECT frame_id, count(*) AS n, greatest({least}::DOUBLE, pow({volume}, 1::DOUBLE / 3) / pow({target}::DOUBLE, 1::DOUBLE / 3)) AS size FROM points GROUP BY frame_id),
+    sized_1 AS (SELECT p.*, n, size FROM points p JOIN size_1 USING (frame_id)), {segmented_sql('greatest(size, 1e-6)', 'sized_1', 'cut_1')},
+    found_1 AS (SELECT frame_id, max(sp_id) + 1 AS found FROM cut_1 GROUP BY frame_id),
+    size_2 AS (SELECT frame_id, n, CASE WHEN found > {overshoot} * {target} THEN size * pow(found::DOUBLE / {target}, 1::DOUBLE / 3) ELSE size END AS size FROM size_1 JOIN found_1 USING (frame_id)),
+    sized_2 AS (SELECT p.*, n, size FROM points p JOIN size_2 USING (frame_id)), {segmented_sql('greatest(size, 1e-6)', 'sized_2', 'cut_2')},
+    {out} AS MATERIALIZED (SELECT * REPLACE (CASE WHEN n <= {target} THEN row_number() OVER (PARTITION BY frame_id ORDER BY point_id) - 1 ELSE sp_id END AS sp_id) FROM cut_2)"""
+
+
 GEOMETRY = f"""{SP},
 moments AS (
     SELECT frame_id, sp_id, count(*) AS n, var_pop(intensity) AS var_i, first(ox) AS ox, first(oy) AS oy, first(oz) AS oz,

@@ -51,6 +51,8 @@ def lifted(points: DataFrame, raster: DataFrame, terms: DataFrame, priors: DataF
     samples = project.sample_pixels(seen.crossJoin(terms), raster, protocol.terms_key)
     centers = project.sample_pixels(mids.crossJoin(terms), raster, protocol.terms_key).withColumnRenamed("score", "center")
     stats = lifting.evidence_stats(samples, centers.select("frame_id", "sp_id", "term", "term_idx", "center"))
+    # eight decimals: ranks and ties do not follow the order in which sums were taken
+    stats = stats.withColumns({c: F.rint(F.col(c) * 1e8) / 1e8 for c in ("center", "mean", "q75", "top")})
     return own, written(lifting.equal_rank(lifting.lift(stats), priors), "evidence"), lifting.footprint_validity(seen)
 
 

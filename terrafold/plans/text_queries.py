@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.lexicon import CANONICAL, CLEAN_STOP, GT_EXPANSION, PLURALS, RULE_ALIASES, STOP, SYNONYMS
+from ..functions.lexicon import CANONICAL, CLEAN_STOP, CORE_TAGS, FALLBACK_TAGS, GT_EXPANSION, PLURALS, PROMPT_GROUPS, RULE_ALIASES, STOP, SYNONYMS, TERM_CLASSES
 from ..operators import metrics, procedural, vocab
 from . import fixtures as fx
 from .evidence_queries import _EQ_TERMS, _term_table
@@ -168,7 +168,15 @@ def merge_terms(spark, sf):
     return vocab.merge_terms(p.where("p_size < 30").drop("p_size"), p.where("p_size > 15").drop("p_size"))
 
 
-@query()
+_KNOWN = sorted({*TERM_CLASSES, *PROMPT_GROUPS})
+_LISTED = lambda names, place: "(" + " UNION ALL ".join(f"SELECT '{t}' AS term, {place} AS list, {i} AS pos" for i, t in enumerate(names)) + ")"
+
+
+@query(rf"""WITH {_PHRASES}, own AS (SELECT frame_id, trim(regexp_replace(regexp_replace(lower(term), '[_-]', ' ', 'g'), '\s+', ' ', 'g')) AS term, 0 AS list, caption_idx * 100000 + pos AS pos FROM phrases),
+known AS (SELECT * FROM own WHERE term IN {_in(_KNOWN)}), frames AS (SELECT DISTINCT frame_id FROM captions),
+every AS (SELECT * FROM known UNION ALL SELECT frame_id, t.* FROM (SELECT * FROM frames ANTI JOIN known USING (frame_id)) CROSS JOIN {_LISTED(FALLBACK_TAGS, 1)} t UNION ALL SELECT frame_id, t.* FROM frames CROSS JOIN {_LISTED([t for t in CORE_TAGS if t in _KNOWN], 2)} t),
+once AS (SELECT frame_id, term, min((list, pos)) AS p FROM every GROUP BY ALL), ranked_tags AS (SELECT frame_id, term, row_number() OVER (PARTITION BY frame_id ORDER BY p) AS rank FROM once)
+SELECT frame_id, term, coalesce(MAP {{{', '.join(f"'{k}': '{'|'.join(v)}'" for k, v in PROMPT_GROUPS.items())}}}[term], term) AS prompts, rank FROM ranked_tags WHERE rank <= 20""")
 def harvest_tags(spark, sf):
     c = fx.captions(spark, sf)
     tags = vocab.caption_phrases(c).select("frame_id", (F.col("caption_idx") * 100_000 + F.col("pos")).alias("pos"), "term")
