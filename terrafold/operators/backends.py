@@ -6,13 +6,16 @@ this engine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import MOST_ROWS
+
 
 class Captioner(Protocol):
     def captions(self, paths: list[str]) -> list[str]: ...
@@ -26,6 +29,43 @@ class TermMapper(Protocol):
     def classes(self, terms: list[str]) -> list[int]: ...
 
 
+class Evidence(Protocol):
+    def scores(self, path: str, prompts: list[str]) -> list: ...
+
+
+#: Evidence backends by name: a function that gives an ``Evidence`` from its options.
+BUILDERS: dict[str, Callable[..., Evidence]] = {}
+
+
+def build_evidence(name: str, **options) -> Evidence | None:
+    """The named evidence backend; ``color`` has none, as ``color_evidence`` stands in for it; unknown names are an error."""
+    if name == "color":
+        return None
+    if name not in BUILDERS:
+        raise ValueError(f"unknown evidence backend: {name}")
+    return BUILDERS[name](**options)
+
+
+def map_evidence(images: DataFrame, prompts: DataFrame, backend: Evidence) -> DataFrame:
+    """(frame_id, term, prompt, row, col, semantic): the backend's maps of every prompt; an image's maps are one task's.
+
+    ``prompts`` (term, prompt) is a vocabulary and goes to the workers.
+    """
+    asked = [tuple(r) for r in prompts.select("term", "prompt").distinct().orderBy("term", "prompt").limit(MOST_ROWS + 1).collect()]
+    if len(asked) > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} prompts")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for frame, path in b.itertuples(index=False, name=None):
+                for (term, prompt), m in zip(asked, backend.scores(path, [p for _, p in asked]), strict=True):
+                    m = np.asarray(m, dtype=float)
+                    row, col = np.indices(m.shape)
+                    yield pd.DataFrame({"frame_id": frame, "term": term, "prompt": prompt, "row": row.ravel(), "col": col.ravel(), "semantic": m.ravel()})
+
+    return images.select("frame_id", "path").mapInPandas(run, "frame_id string, term string, prompt string, row int, col int, semantic double")
+
+
 def caption_images(images: DataFrame, backend: Captioner | None, pixels: DataFrame | None = None, mode: str = "auto") -> DataFrame:
     """(frame_id, text). Mode ``model`` fails without a backend, ``heuristic`` never uses one, ``auto`` uses it if there."""
     if mode == "model" and backend is None:

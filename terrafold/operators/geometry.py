@@ -137,34 +137,48 @@ def external_partition(points: DataFrame, partition: DataFrame) -> DataFrame:
     return points.drop("sp_id").join(partition.select(FRAME, "point_id", "sp_id"), [FRAME, "point_id"])
 
 
-def knn_edges(nodes: DataFrame, k: int = 8, farthest: float | None = None, position: tuple[str, ...] = ("cx", "cy", "cz")) -> DataFrame:
+#: Segments of a frame that one task takes; larger frames meet tile by tile.
+MOST_SEGMENTS = 4096
+
+
+def knn_edges(nodes: DataFrame, k: int = 8, farthest: float | None = None, position: tuple[str, ...] = ("cx", "cy", "cz"), most: int = MOST_SEGMENTS) -> DataFrame:
     """Exact directed k nearest neighbours within each frame: (frame_id, src, dst, dist), ties to the smaller id.
 
-    Distances are computed in blocks of rows inside the frame's task; only the k best leave it.
+    Distances are computed in blocks of rows inside the frame's task; only the k best leave it. A frame of more
+    than ``most`` segments is cut in tiles, each pair of tiles is a task, and the best of a segment's k by tile stay.
     """
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("sp_id")
-        ids = frame["sp_id"].to_numpy()
-        at = frame[list(position)].to_numpy()
-        parts = []
-        take = min(k, len(ids) - 1)
-        for lo in range(0, len(ids) if take > 0 else 0, 256):
-            square = np.zeros((len(at[lo : lo + 256]), len(at)))
+    kind = nodes.schema[FRAME].dataType.simpleString()
+    rows = nodes.select(FRAME, F.col("sp_id").cast("bigint").alias("sp_id"), *position)
+    sizes = rows.groupBy(FRAME).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("tiles"))
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sp_id")
+        ask, give = (part[part[c]] if c in part else part for c in ("ask", "give"))
+        ids, near = ask["sp_id"].to_numpy(), give["sp_id"].to_numpy()
+        own, at = ask[list(position)].to_numpy(), give[list(position)].to_numpy()
+        parts = [pd.DataFrame({FRAME: np.zeros(0, dtype=object), "src": np.zeros(0, dtype=np.int64), "dst": np.zeros(0, dtype=np.int64), "dist": np.zeros(0)})]
+        for lo in range(0, len(ids), 256):
+            square = np.zeros((len(own[lo : lo + 256]), len(at)))
             for j in range(at.shape[1]):
-                d = at[lo : lo + 256, j : j + 1] - at[None, :, j]
+                d = own[lo : lo + 256, j : j + 1] - at[None, :, j]
                 square += d * d
             dist = np.sqrt(square)
-            dist[np.arange(len(dist)), np.arange(lo, lo + len(dist))] = np.inf
-            best = np.argsort(dist, axis=1, kind="stable")[:, :take]
-            rows = np.repeat(np.arange(lo, lo + len(dist)), take)
-            parts.append(pd.DataFrame({FRAME: key[0], "src": ids[rows], "dst": ids[best.reshape(-1)], "dist": np.take_along_axis(dist, best, 1).reshape(-1)}))
-        if parts:
-            return pd.concat(parts, ignore_index=True)
-        return pd.DataFrame({FRAME: np.zeros(0, dtype=object), "src": np.zeros(0, dtype=np.int64), "dst": np.zeros(0, dtype=np.int64), "dist": np.zeros(0)})
-
-    kind = nodes.schema[FRAME].dataType.simpleString()
-    out = nodes.select(FRAME, F.col("sp_id").cast("bigint").alias("sp_id"), *position).groupBy(FRAME).applyInPandas(run, f"frame_id {kind}, src bigint, dst bigint, dist double")
+            dist[ids[lo : lo + 256, None] == near[None, :]] = np.inf
+            best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            found = pd.DataFrame({FRAME: key[0], "src": np.repeat(ids[lo : lo + 256], best.shape[1]), "dst": near[best.reshape(-1)], "dist": np.take_along_axis(dist, best, 1).reshape(-1)})
+            parts.append(found[np.isfinite(found["dist"])])
+        return pd.concat(parts[1:] or parts, ignore_index=True)
+
+    schema = f"frame_id {kind}, src bigint, dst bigint, dist double"
+    if sizes.where("tiles > 1").isEmpty():
+        out = rows.groupBy(FRAME).applyInPandas(run, schema)
+    else:
+        tiled = rows.join(sizes, FRAME).withColumn("tile", F.pmod(F.xxhash64("sp_id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        asking = tiled.select(FRAME, "sp_id", *position, F.col("tile").alias("i"), F.col("other").alias("j"), F.lit(True).alias("ask"), (F.col("tile") == F.col("other")).alias("give"))
+        giving = tiled.where("tile <> other").select(FRAME, "sp_id", *position, F.col("other").alias("i"), F.col("tile").alias("j"), F.lit(False).alias("ask"), F.lit(True).alias("give"))
+        found = asking.unionByName(giving).groupBy(FRAME, "i", "j").applyInPandas(run, schema)
+        order = Window.partitionBy(FRAME, "src").orderBy("dist", "dst")
+        out = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
     return out if farthest is None else out.where(F.col("dist") <= farthest)
 
 

@@ -15,14 +15,27 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import EPS, MASKED
 from .geometry import undirected
+from .lineage import written
 
 FRAME = "frame_id"
 SEGMENT = ["frame_id", "sp_id"]
 
 
+#: Segments of a frame that an iterated operator takes in one task.
+MOST_SEGMENTS = 65_536
+
+
+def bounded(nodes: pd.DataFrame, most: int = MOST_SEGMENTS) -> pd.DataFrame:
+    """``nodes``, or an error where a frame has more segments than one task should hold: partition it more coarsely, or in parts."""
+    if (n := nodes["sp_id"].nunique()) > most:
+        raise ValueError(f"a frame of {n} segments; this operator takes {most} at most")
+    return nodes
+
+
 def _per_frame(tables: tuple[DataFrame, DataFrame], run, schema: str) -> DataFrame:
     a, b = tables
-    return a.groupBy(FRAME).cogroup(b.groupBy(FRAME)).applyInPandas(run, schema)
+    step = lambda key, nodes, links: run(key, bounded(nodes), links)
+    return a.groupBy(FRAME).cogroup(b.groupBy(FRAME)).applyInPandas(step, schema)
 
 
 def _dense(nodes: pd.DataFrame, columns: list[str]) -> tuple[np.ndarray, list[np.ndarray], int]:
@@ -126,7 +139,7 @@ def _rounds(unary: np.ndarray, valid: np.ndarray, src: np.ndarray, dst: np.ndarr
     return score
 
 
-def label_propagation(labels: DataFrame, edges: DataFrame, classes: int, alpha: float = 0.72, steps: int = 18) -> DataFrame:
+def label_propagation(labels: DataFrame, edges: DataFrame, classes: int, alpha: float = 0.72, steps: int = 18, most: int = MOST_SEGMENTS) -> DataFrame:
     """Class indices after ``steps`` of p = alpha * init + (1 - alpha) * weighted mean of neighbours, edges both ways.
 
     ``labels`` is (frame_id, sp_id, index, valid); unknown or invalid starts are uniform.
@@ -147,7 +160,25 @@ def label_propagation(labels: DataFrame, edges: DataFrame, classes: int, alpha:
             p = alpha * start + (1 - alpha) * _gather(len(ids), src, p[dst] * w[:, None]) / degree
         return pd.DataFrame({FRAME: key[0], "sp_id": ids, "index": p.argmax(axis=1).astype(np.int32)})
 
-    return _per_frame((labels, edges), run, "frame_id string, sp_id bigint, index int")
+    large = labels.groupBy(FRAME).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(FRAME)
+    if large.isEmpty():
+        return _per_frame((labels, edges), run, "frame_id string, sp_id bigint, index int")
+    # frames that one task should not hold go round by round, a join and an aggregation each
+    some = labels.join(large, FRAME, "left_anti"), edges.join(large, FRAME, "left_anti")
+    out = _per_frame(some, run, "frame_id string, sp_id bigint, index int")
+    return out.unionByName(_propagated(labels.join(large, FRAME, "left_semi"), edges.join(large, FRAME, "left_semi"), classes, alpha, steps))
+
+
+def _propagated(labels: DataFrame, edges: DataFrame, classes: int, alpha: float, steps: int) -> DataFrame:
+    """``label_propagation`` by ``propagation_step``, with each round's state in a table."""
+    known = F.coalesce(F.col("valid") & (F.col("index") >= 0), F.lit(False))
+    rows = labels.withColumn("term_idx", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
+    first = F.when(known, (F.col("term_idx") == F.col("index")).cast("double")).otherwise(1.0 / classes)
+    start = now = written(rows.select(*SEGMENT, "term_idx", first.alias("p")), "propagation")
+    for _ in range(steps):
+        now = written(propagation_step(start, now, edges, alpha), "propagation")
+    # sums in other orders differ in the last digits; equal classes tie to the smaller
+    return now.groupBy(*SEGMENT).agg(F.max_by("term_idx", F.struct(F.round("p", 12), -F.col("term_idx"))).cast("int").alias("index"))
 
 
 def propagation_step(start: DataFrame, now: DataFrame, edges: DataFrame, alpha: float = 0.72) -> DataFrame:

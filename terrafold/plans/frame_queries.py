@@ -84,10 +84,23 @@ class _Reversed:
     def encode(self, items: list[str]) -> list[list[float]]:
         return [[float(len(t)), float(t.count("a")), float(t.count("e")) + 1.0] for t in items]
 
+    def scores(self, path: str, prompts: list[str]) -> list:
+        return [[[(len(path) + len(p) + i * 3 + j) % 7 / 8.0 for j in range(4)] for i in range(3)] for p in prompts]
+
     def classes(self, terms: list[str]) -> list[int]:
         return [len(t) % 5 for t in terms]
 
 
+@query("""WITH f AS (SELECT DISTINCT event_type AS frame_id FROM events), p AS (SELECT DISTINCT p_type AS term, p_type || s AS prompt FROM part CROSS JOIN (SELECT unnest(['', ' roof']) AS s))
+SELECT frame_id, term, prompt, i::INTEGER AS row, j::INTEGER AS col, (length('img/' || frame_id || '.jpg') + length(prompt) + i * 3 + j) % 7 / 8::DOUBLE AS semantic FROM f CROSS JOIN p CROSS JOIN (SELECT unnest(range(3)) AS i) CROSS JOIN (SELECT unnest(range(4)) AS j)""")
+def backend_evidence(spark, sf):
+    """Score maps of a built backend for every prompt."""
+    images = fx.points(spark, sf).select("frame_id").distinct().withColumn("path", F.concat(F.lit("img/"), "frame_id", F.lit(".jpg")))
+    prompts = fx.load(spark, sf, "part").select(F.col("p_type").alias("term"), F.explode(F.array("p_type", F.concat("p_type", F.lit(" roof")))).alias("prompt")).distinct()
+    backends.BUILDERS.setdefault("stand-in", _Reversed)
+    return backends.map_evidence(images, prompts, backends.build_evidence("stand-in"))
+
+
 _ENC = "e AS (SELECT p_name || suffix AS prompt, p_name AS term, length(p_name || suffix)::DOUBLE AS a, length(p_name || suffix) - length(replace(p_name || suffix, 'a', '')) AS b, 1 + length(p_name || suffix) - length(replace(p_name || suffix, 'e', '')) AS c FROM (SELECT DISTINCT p_name FROM part) CROSS JOIN (SELECT unnest(['', ' seen from above', ' area']) AS suffix))"
 
 

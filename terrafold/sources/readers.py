@@ -42,7 +42,8 @@ def images(spark: SparkSession, root: str, limit: int = 0) -> DataFrame:
 
 
 def points_binary(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
-    """(path, point_id, v): float32 records of ``width`` values from .bin files or the rows of .npy files; other kinds are an error."""
+    """(path, point_id, v): float32 records of ``width`` values from .bin files, the rows of .npy files, or those of the tensor
+    in a .pt or .pth file (bare, or under "points"); other kinds are an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,6 +53,11 @@ def points_binary(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
             for p, raw in b.itertuples(index=False, name=None):
                 if p.endswith(".bin"):
                     m = np.frombuffer(raw, dtype="<f4").reshape(-1, width)
+                elif p.endswith((".pt", ".pth")):
+                    from .tensors import read_tensor
+
+                    m = read_tensor(raw, "points")
+                    m = m.reshape(len(m), -1)
                 elif p.endswith(".npy"):
                     m = np.load(io.BytesIO(raw), allow_pickle=False)
                     m = m.reshape(len(m), -1)
@@ -65,10 +71,27 @@ def points_binary(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
 
 
 def points_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, point_id, v): whitespace-separated numbers, one point a line; the line's place is the point's id."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = files.select("path", F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda s: F.btrim(s) != "")).alias("point_id", "line"))
-    return lines.select("path", F.col("point_id").cast("bigint").alias("point_id"), F.transform(F.split(F.btrim("line"), r"\s+"), lambda s: s.cast("double")).alias("v"))
+    """(path, point_id, v): whitespace-separated numbers, one point a line; the place among a file's lines that aren't blank is the point's id.
+
+    Files are read in splits, line by line. Lines of a split are numbered in order, and a split's first number follows from
+    the splits before it, so a cloud of any size is never one row.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.input_file_block_start().alias("split"), F.monotonically_increasing_id().alias("seen"), F.btrim("value").alias("line")).where("line <> ''")
+    # a row a split
+    splits = lines.groupBy("path", "split").agg(F.count(F.lit(1)).alias("n"))
+    before = splits.select("path", "split", (F.sum("n").over(Window.partitionBy("path").orderBy("split")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("path", "split").orderBy("seen")) - 1
+    rows = lines.withColumn("own", own).join(before, ["path", "split"])
+    return rows.select("path", (F.col("before") + F.col("own")).alias("point_id"), F.transform(F.split("line", r"\s+"), lambda s: s.cast("double")).alias("v"))
+
+
+def synthetic_sample(spark: SparkSession, path: str) -> DataFrame:
+    """A sweep that ``synthetic_scene`` made and Parquet keeps: (frame_id, point_id, sp_id, x, y, z, intensity, label), in that order; a missing column is an error."""
+    columns = ["frame_id", "point_id", "sp_id", "x", "y", "z", "intensity", "label"]
+    found = spark.read.parquet(path)
+    if lost := [c for c in columns if c not in found.columns]:
+        raise ValueError(f"not a synthetic sample, it lacks {', '.join(lost)}")
+    return found.select(*columns)
 
 
 def paired(points: DataFrame, labels: DataFrame) -> DataFrame:
