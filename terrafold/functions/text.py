@@ -26,9 +26,23 @@ def clean_text(c: Column) -> Column:
     return _squeezed(F.regexp_replace(F.regexp_replace(F.lower(F.btrim(c)), "[_-]", " "), "[^a-z0-9 /,;]+", " "))
 
 
-def singular(term: Column) -> Column:
-    """The last word's plural ending dropped: -ies to -y beyond four letters, -s unless -ss beyond three."""
-    last = F.regexp_extract(term, r"([^ ]*)$", 1)
+def _stages(items: Column, *steps) -> Column:
+    """Array elements through ``steps``. What a step binds is computed once an element, however often the next one names it."""
+    for step in steps:
+        items = F.transform(items, step)
+    return items
+
+
+def _single(value: Column, *steps) -> Column:
+    return _stages(F.array(value), *steps)[0]
+
+
+def _with_last(term: Column) -> Column:
+    return F.struct(term.alias("term"), F.regexp_extract(term, r"([^ ]*)$", 1).alias("last"))
+
+
+def _singular(s: Column) -> Column:
+    term, last = s["term"], s["last"]
     n = F.length(last)
     return (
         F.when(last.endswith("ies") & (n > 4), F.concat(F.substring(term, F.lit(1), F.length(term) - 3), F.lit("y")))
@@ -37,21 +51,36 @@ def singular(term: Column) -> Column:
     )
 
 
+def singular(term: Column) -> Column:
+    """The last word's plural ending dropped: -ies to -y beyond four letters, -s unless -ss beyond three."""
+    return _single(term, _with_last, _singular)
+
+
+def _open_steps() -> list:
+    low = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "_", " "), "[^a-z0-9 -]+", " ")
+    return [lambda c: F.btrim(_squeezed(low(c)), F.lit(" -")), _with_last, _singular, lambda t: F.when(t.isin(*CLEAN_STOP), "").otherwise(t)]
+
+
 def clean_open_term(c: Column) -> Column:
     """An open-vocabulary term in normal form; stop terms become the empty string."""
-    low = F.regexp_replace(F.regexp_replace(F.lower(c), "_", " "), "[^a-z0-9 -]+", " ")
-    term = singular(F.btrim(_squeezed(low), F.lit(" -")))
-    return F.when(term.isin(*CLEAN_STOP), "").otherwise(term)
+    return _single(c, *_open_steps())
+
+
+def _normal_steps(keep_roof: bool) -> list:
+    def usable(s: Column) -> Column:
+        clean, mapped = s["clean"], s["mapped"]
+        return F.when((clean == "") | clean.isin(*STOP) | mapped.isin(*STOP) | (F.length(mapped) < 3), None).otherwise(mapped)
+
+    named = lambda clean, mapped: F.struct(clean.alias("clean"), mapped.alias("mapped"))
+    steps = [clean_text, lambda c: named(c, F.coalesce(_map(PLURALS)[c], c)), lambda s: named(s["clean"], F.coalesce(_map(SYNONYMS)[s["mapped"]], s["mapped"]))]
+    if not keep_roof:
+        steps.append(lambda s: named(s["clean"], F.when(s["mapped"] == "roof", "building").otherwise(s["mapped"])))
+    return [*steps, usable]
 
 
 def normalize_term(c: Column, keep_roof: bool = False) -> Column:
     """A remote-sensing term through the plural and synonym tables; null if nothing usable is left."""
-    clean = clean_text(c)
-    plural = F.coalesce(_map(PLURALS)[clean], clean)
-    mapped = F.coalesce(_map(SYNONYMS)[plural], plural)
-    if not keep_roof:
-        mapped = F.when(mapped == "roof", "building").otherwise(mapped)
-    return F.when((clean == "") | clean.isin(*STOP) | mapped.isin(*STOP) | (F.length(mapped) < 3), None).otherwise(mapped)
+    return _single(c, *_normal_steps(keep_roof))
 
 
 def phrase_parts(caption: Column) -> Column:
@@ -59,7 +88,7 @@ def phrase_parts(caption: Column) -> Column:
     head = F.regexp_replace(F.lower(caption), r"^[\s\-*\d.)]+", "")
     parts = F.split(head, r"[,;/\n]|\band\b|\bwith\b|\bplus\b")
     bare = F.transform(parts, lambda p: F.regexp_replace(p, r"\b(a|an|the|some|several|multiple|visible)\b", " "))
-    return F.transform(bare, clean_open_term)
+    return _stages(bare, *_open_steps())
 
 
 def phrase_candidates(caption: Column, max_words: int = 5) -> Column:
@@ -69,17 +98,19 @@ def phrase_candidates(caption: Column, max_words: int = 5) -> Column:
 
 def rs_candidates(caption: Column) -> Column:
     """Remote-sensing candidates: canonical terms found, split parts of 2 to 4 words, greedy chunks of 1 to 3 words."""
-    clean = clean_text(caption)
-    canonical = F.filter(F.array(*[F.when(clean.rlike(rf"\b{t}s?\b"), F.lit(t)) for t in CANONICAL]), lambda t: t.isNotNull())
     words = lambda t: F.size(F.split(t, " +"))
-    parts = F.filter(F.transform(F.split(clean, r"[,;/\n]| and | with | plus "), lambda p: F.btrim(p)), lambda t: (t != "") & words(t).between(2, 4))
-    chunks = F.filter(F.transform(F.regexp_extract_all(clean, F.lit(r"[a-z][a-z ]{2,32}"), F.lit(0)), lambda p: F.btrim(p)), lambda t: (t != "") & words(t).between(1, 3))
-    return F.concat(canonical, parts, chunks)
+    listed = lambda items, low, high: F.filter(F.transform(items, lambda t: F.btrim(t)), lambda t: (t != "") & words(t).between(low, high))
+
+    def found(clean: Column) -> Column:
+        canonical = F.filter(F.array(*[F.when(clean.rlike(rf"\b{t}s?\b"), F.lit(t)) for t in CANONICAL]), lambda t: t.isNotNull())
+        return F.concat(canonical, listed(F.split(clean, r"[,;/\n]| and | with | plus "), 2, 4), listed(F.regexp_extract_all(clean, F.lit(r"[a-z][a-z ]{2,32}"), F.lit(0)), 1, 3))
+
+    return _single(caption, clean_text, found)
 
 
 def rs_tags(caption: Column, keep_roof: bool = False, allow_open: bool = True) -> Column:
     """Normalised candidates of one caption, each once, in order of first appearance."""
-    tags = F.filter(F.transform(rs_candidates(caption), lambda t: normalize_term(t, keep_roof)), lambda t: t.isNotNull())
+    tags = F.filter(_stages(F.array_distinct(rs_candidates(caption)), *_normal_steps(keep_roof)), lambda t: t.isNotNull())
     if not allow_open:
         tags = F.filter(tags, lambda t: t.isin(*CANONICAL))
     return F.array_distinct(tags)
