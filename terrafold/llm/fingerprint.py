@@ -60,7 +60,7 @@ def _spread(have: int, want: int) -> list[int]:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
-    """Add ``out``: array<bigint> of kept entries ``hash << 31 | (2**31 - 1 - position)``, ascending."""
+    """Add ``out``: array<bigint> of kept entries ``hash << 31 | (2**31 - 1 - position)``, in order of the text."""
     units = f"{out}__units"
     steps = [(units, F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), _UPPER, _LOWER), F.lit(_PIECE), F.lit(0)))]
     # a piece's own units are those of the text: UNIT never looks beyond a run
@@ -143,15 +143,23 @@ def with_next(docs: DataFrame, carry: tuple[str, ...] = ("text",), rows_per_grou
     return rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carry}).where("not mark").drop("r", "mark")
 
 
+def _edited(df: DataFrame) -> DataFrame:
+    """Add n_chars and ``edited``: the text whose last half is replaced by as many code points (or all) from the start of ``next_text``."""
+    df = df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("next_text", F.coalesce("next_text", F.lit("")))
+    df = df.withColumn("n_chars", F.char_length("text").cast("bigint"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    return df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
+
+
+def edited_texts(docs: DataFrame) -> DataFrame:
+    """Every text with its length and its edited text."""
+    return _edited(with_next(docs.select("doc_id", "text")))
+
+
 def fingerprint_pairs(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """Every text's fingerprint ``kept``, its edited text's ``edited_kept`` and the next document's ``next_kept``.
 
-    A text is fingerprinted once and its entries travel with it to the document before. The edited text replaces the last half of the code points by as many (or all) from the start of the next
-    document.
+    A text is fingerprinted once and its entries travel with it to the document before.
     """
     df = with_next(with_fingerprint(docs.select("doc_id", "text"), "text", "kept", k, w), ("text", "kept"))
-    df = df.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("next_text", F.coalesce("next_text", F.lit("")))
-    df = df.withColumn("n_chars", F.char_length("text").cast("bigint"))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    df = df.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
-    return with_fingerprint(df, "edited", "edited_kept", k, w)
+    return with_fingerprint(_edited(df), "edited", "edited_kept", k, w)

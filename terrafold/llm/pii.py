@@ -11,8 +11,8 @@ candidates get votes (+1, -1 or 0) from five labelers, each with a source of its
 
 The corpus is read once; every candidate's votes and features go to a table. The counts of votes over *all*
 candidates (3**5 patterns a kind at most) feed an expectation-maximisation of a two-class model with a
-reliability per labeler. Its posteriors, summed by features (4**7 patterns a kind at most: length, shares of digits
-and capitals, entropy, character classes on both sides, listed words), train the span
+reliability per labeler. Its posteriors, summed by features (4**9 patterns a kind at most: length, shares of digits
+and capitals, entropy, character classes on both sides, listed words, form and cue), train the span
 classifier, a logistic model over feature levels whose verdict adds the span. Candidate kinds: ``secret``
 (keys and tokens), ``iban``, ``local`` (phone numbers without a country code) and ``name``
 (two capitalised words, an initial between them allowed, with a listed name among them or a cue before them).
@@ -81,7 +81,7 @@ _AFTER = {
     "name": (re.compile(r"(?:,? (?:said|says|wrote|writes|born|Jr|Sr|PhD|MD)\b|,? ?[<(]?[\w.+-]+@)"), re.compile(r" (?:Inc|Ltd|GmbH|LLC|Corp|SA|AG|" + "|".join(sorted(NOT_NAMES)) + r")\b")),
 }
 LABELERS = 5
-FEATURES = 7
+FEATURES = 9
 
 
 def luhn(digits: str) -> bool:
@@ -177,7 +177,7 @@ def _votes(kind: str, text: str, start: int, end: int) -> tuple[list[int], list[
         _sides(_AFTER[kind], after, True),
     ]
     share = lambda n: min(3, 4 * n // len(s))
-    features = [min(3, len(s) // 12), share(sum(c.isdigit() for c in s)), share(sum(c.isupper() for c in s)), min(3, int(_entropy(s))), _class(before[-1:]), _class(after[:1]), listed + 1]
+    features = [min(3, len(s) // 12), share(sum(c.isdigit() for c in s)), share(sum(c.isupper() for c in s)), min(3, int(_entropy(s))), _class(before[-1:]), _class(after[:1]), listed + 1, votes[0] + 1, votes[2] + 1]
     return votes, features
 
 
@@ -251,11 +251,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield {"doc_id": b.column("doc_id"), "base": base, "more": more}
 
 
+#: The share of personal candidates that a kind starts from, and may reach: what no labeler speaks for is not taken for personal.
+_PRIOR = (0.02, 0.2)
+#: What a labeler's reliability is held near, and by how many pseudo-votes a candidate.
+_SURE, _HELD = 0.8, 1.0
+
+
 def fit_labelers(patterns: list[tuple[str, str, int]], rounds: int = 50) -> dict[tuple[str, str], float]:
     """Posterior of "personal" for every (kind, votes) pattern, from counts, by EM.
 
-    Two classes per kind; each labeler votes by its own class-conditional distribution
-    (smoothed). Starts from the majority of votes, so a kind with one pattern keeps its majority.
+    A labeler that does not abstain is right with its reliability, which lies between 0.55 and 0.99 and is held near
+    0.8 by as many pseudo-votes as there are candidates, so a vote against is never evidence for. Starts from the majority of votes, ties against.
     """
     out = {}
     for kind in sorted({k for k, _, _ in patterns}):
@@ -263,15 +269,14 @@ def fit_labelers(patterns: list[tuple[str, str, int]], rounds: int = 50) -> dict
         votes = np.array([[int(x) for x in v.split(",")] for v, _ in own])
         n = np.array([c for _, c in own], dtype=float)
         q = 1 / (1 + np.exp(-(votes.sum(axis=1) - 0.5)))
+        held = 10 + _HELD * n.sum()
         for _ in range(rounds):
-            prior = np.clip((n * q).sum() / n.sum(), 0.02, 0.98)
-            log = np.tile(np.log([prior, 1 - prior]), (len(n), 1))
-            for j in range(votes.shape[1]):
-                for c, weight in ((0, n * q), (1, n * (1 - q))):
-                    # prior belief: a labeler is right more often than not
-                    seen = np.array([weight[votes[:, j] == v].sum() for v in (-1, 0, 1)]) + np.array([1.0, 4.0, 5.0] if c == 0 else [5.0, 4.0, 1.0])
-                    log[:, c] += np.log(seen / seen.sum())[votes[:, j] + 1]
-            q = 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -50, 50)))
+            prior = np.clip((n * q).sum() / n.sum(), *_PRIOR)
+            yes, no = (n * q) @ (votes == 1), (n * q) @ (votes == -1)
+            yes_0, no_0 = (n * (1 - q)) @ (votes == 1), (n * (1 - q)) @ (votes == -1)
+            right = np.clip((yes + no_0 + _SURE * held) / (yes + no + yes_0 + no_0 + held), 0.55, 0.99)
+            odds = np.log(prior / (1 - prior)) + votes @ np.log(right / (1 - right))
+            q = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         out |= {(kind, v): float(p) for (v, _), p in zip(own, q, strict=True)}
     return out
 
@@ -333,6 +338,17 @@ def find_spans(docs: DataFrame) -> DataFrame:
     return scanned.withColumn("more", kept)
 
 
+def base_counts(docs: DataFrame) -> DataFrame:
+    """Counts of base spans alone, per document; nothing is fitted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            kinds = [[k for _, k, _ in base_spans(t or "")] for t in b.column("text").to_pylist()]
+            yield {"doc_id": b.column("doc_id")} | {f"n_{k}": [x.count(k) for x in kinds] for k in BASE}
+
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id bigint, " + ", ".join(f"n_{k} bigint" for k in BASE))
+
+
 def _listed(spans) -> F.Column:
     """kind:start:end by start, then kind as listed, comma-joined."""
     order = F.array(*[F.lit(k) for k in KINDS])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, covertree, fingerprint, mixing, neardup, order, pii, substring, toxicity, warc
@@ -69,8 +69,26 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("kept", "kept_sha256")
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op1_winnowing`` fingerprints, without fingerprints, as SQL says it too."""
+    df = fingerprint.edited_texts(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of ``op4_mixing``, and whether each source's words meet its target to the word."""
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
+    met = F.abs(F.sum("taken").over(Window.partitionBy("source")) - F.col("target")) <= 0.5
+    return plan.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), met.alias("met"), (F.col("taken") <= 3 * F.col("size")).alias("bounded"))
+
+
+def base_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of ``op5_personal_data``."""
+    return pii.base_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowing, op2_toxic_segments, op3_training_order, op4_mixing, op5_personal_data, op6_dual_tree_search, op7_near_duplicates, op8_warc, op9_bpe, op10_repeated_passages)}
+    return {f.__name__: f for f in (op1_winnowing, op2_toxic_segments, op3_training_order, op4_mixing, op5_personal_data, op6_dual_tree_search, op7_near_duplicates, op8_warc, op9_bpe, op10_repeated_passages, edited_texts, mix_targets, base_span_counts)}
 
 
 _OP6_SQL = """
@@ -143,5 +161,34 @@ FROM bits
 """
 
 
+_EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) // 2 AS half, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS after FROM d)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(left(t, length(t) - half) || left(after, half)) AS edited_sha256 FROM n
+"""
+
+_TARGET_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, encode(coalesce(source, ''))) - 1) % 3 + 1]::DOUBLE AS w FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY 3 * n / w, source) AS i, sum(n) OVER () AS total FROM w),
+l AS (SELECT *, (total - coalesce(sum(3 * n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+f AS (SELECT arg_min(level, i) AS level FROM l WHERE 3 * n / w >= level)
+SELECT doc_id, size, n AS source_size, round(least(3 * n, w * f.level), 3) AS target, true AS met, true AS bounded FROM d JOIN l ON l.source IS NOT DISTINCT FROM d.source CROSS JOIN f
+"""
+
+_COUNT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (
+    SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+        list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card, list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone
+    FROM d
+)
+SELECT doc_id, len(email)::BIGINT AS n_email, len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR (length(ltrim(p, '0')) = 3 AND ltrim(p, '0') > '255'))) = 0))::BIGINT AS n_ip,
+    len(list_filter(card, lambda x: length(x) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(x) + 1), lambda i: CASE WHEN (length(x) - i) % 2 = 0 THEN x[i]::INTEGER WHEN x[i]::INTEGER > 4 THEN 2 * x[i]::INTEGER - 9 ELSE 2 * x[i]::INTEGER END)) % 10 = 0))::BIGINT AS n_card,
+    len(list_filter(phone, lambda x: length(x) BETWEEN 9 AND 15))::BIGINT AS n_phone
+FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_dual_tree_search": _OP6_SQL, "op7_near_duplicates": _OP7_SQL, "op8_warc": _OP8_SQL, "op10_repeated_passages": _OP10_SQL}
+    return {"edited_texts": _EDITED_SQL, "mix_targets": _TARGET_SQL, "base_span_counts": _COUNT_SQL, "op6_dual_tree_search": _OP6_SQL, "op7_near_duplicates": _OP7_SQL, "op8_warc": _OP8_SQL, "op10_repeated_passages": _OP10_SQL}
