@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import map_batches, whole
-from ._graph import components
+from ._graph import components, few
 from ._store import drop, stored
 from ._words import chunks, mix64, spans_of, words_of
 
@@ -270,11 +270,11 @@ def _each(n: str) -> F.Column:
 
 def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
     """``(node, component)`` of the confirmed links within the clusters of ``sets(node, cluster, members)``."""
-    sizes, _ = stored(sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("members")).alias("n")).withColumn("tiles", _tiles(F.col("m"), F.col("n"))), "clusters")
-    docs, size, most = sizes.agg(F.sum("m"), F.sum("n"), F.max("tiles")).first()
-    if not docs:
+    total = sets.count()
+    sizes, _ = stored(few(sets.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum(F.octet_length("members")).alias("n")).withColumn("tiles", _tiles(F.col("m"), F.col("n"))), total), "clusters")
+    size, most = sizes.agg(F.sum("n"), F.max("tiles")).first()
+    if not total:
         return sets.select("node", F.col("node").alias("component")).where("false")
-    total = int(docs)
     bins = max(1, total // _GROUP, int(size) // _GROUP_BYTES)
     tiled = sets.join(sizes.drop("n"), "cluster").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     one = tiled.where("tiles = 1").withColumns({"label": F.col("node"), "ask": F.lit(True), "of": F.lit(0).cast("bigint"), "i": F.lit(-1), "j": F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int")})
@@ -286,16 +286,16 @@ def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
     inside = inside.withColumns({"label": F.col("node"), "ask": F.lit(True), "of": F.col("cluster"), "i": F.col("tile"), "j": F.lit(0)})
     first = one.select(*_ASK).unionByName(inside.select(*_ASK)) if most > 1 else one.select(*_ASK)
     links, path = stored(first.groupBy("of", "i", "j").applyInPandas(_tile_links(percent), "a bigint, b bigint"), "links")
-    found, found_path = stored(components(links, "links"), "components")
+    found, _ = stored(components(links, "links", links.count()), "components")
     if most == 1:
         drop(sets.sparkSession, path)
         return found
     # who is outside the largest component of a large cluster asks all of it
-    named, named_path = stored(large.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).select("node", "cluster", "members", "tile", "tiles", "label"), "named")
+    named, named_path = stored(few(large.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).select("node", "cluster", "members", "tile", "tiles", "label"), total), "named")
     counts = named.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("cluster").agg(F.max(F.struct("k", F.negative("label").alias("label"))).alias("x"))
-    largest, _ = stored(counts.select("cluster", F.negative("x.label").alias("giant")), "largest")
+    largest, _ = stored(few(counts.select("cluster", F.negative("x.label").alias("giant")), total), "largest")
     outside = named.join(largest, "cluster").where("label <> giant")
-    rest, _ = stored(outside.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("members")).alias("n")).select("cluster", _tiles(F.col("k"), F.col("n")).alias("rows")), "asking")
+    rest, _ = stored(few(outside.groupBy("cluster").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("members")).alias("n")).select("cluster", _tiles(F.col("k"), F.col("n")).alias("rows")), total), "asking")
     if rest.isEmpty():
         drop(sets.sparkSession, named_path)
         return found
@@ -306,31 +306,33 @@ def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
     more, _ = stored(second, "links")
     if more.isEmpty():
         return found
-    drop(sets.sparkSession, found_path)
-    return stored(components(links.unionByName(more), "links"), "components")[0]
+    joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+    return stored(components(joined, "links", joined.count()), "components")[0]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``; links have ``100 * shared >= percent * union``."""
     spark = docs.sparkSession
     rows, _ = stored(map_batches(docs.select("doc_id", "text"), _sketch_rows(width), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>"), "sketches")
+    n = rows.count()
     usable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["set_a", "set_b", "n_shingles"]
-    classes, _ = stored(usable.groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
+    classes, _ = stored(few(usable.groupBy(*same).agg(F.min("doc_id").alias("node")), n), "classes")
     # one row of a class has its bands: the sketch follows from the set
     heads = usable.join(classes.select(F.col("node").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    keys, keys_path = stored(heads.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key")), "keys")
-    hubs, hubs_path = stored(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub"), "hubs")
+    keys, keys_path = stored(heads.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key")).transform(few, n * BANDS), "keys")
+    hubs, hubs_path = stored(keys.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1").select("key", "hub").transform(few, n * BANDS), "hubs")
     stars = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     clusters, _ = stored(components(stars, "clusters").withColumnRenamed("component", "cluster"), "clusters")
     drop(spark, keys_path)
     drop(spark, hubs_path)
-    nodes = spark.sparkContext.broadcast(_node_filter(clusters, clusters.count()))
+    total = clusters.count()
+    nodes = spark.sparkContext.broadcast(_node_filter(clusters, total))
     members = map_batches(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), _maybe(nodes), "node bigint, text string").join(clusters, "node")
     sets, path = stored(map_batches(members, _set_rows(width), "node bigint, cluster bigint, members binary"), "sets")
     found = _confirmed(sets, percent)
     drop(spark, path)
-    named, _ = stored(classes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), "named")
+    named, _ = stored(few(classes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")), n), "named")
     out = usable.select("doc_id", *same).join(named, same).select("doc_id", "n_shingles", "component_id")
     # without words, or without a key, a row is linked with nothing
     alone = rows.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
