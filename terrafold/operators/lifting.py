@@ -16,14 +16,21 @@ SEGMENT = ["frame_id", "sp_id"]
 KEY = ["frame_id", "sp_id", "term", "term_idx"]
 
 
-def evidence_stats(samples: DataFrame, centers: DataFrame, top_share: float | None = None) -> DataFrame:
+def evidence_stats(samples: DataFrame, centers: DataFrame, top_share: float | None = None, points: str | None = None) -> DataFrame:
     """center, mean, top and q75 of each segment and term over its kept points.
 
+    ``points`` names a column that says for how many points a sample stands (points of one pixel are alike); ``top_share``
+    needs a row a point.
+
     A segment without kept points has zeros; a frame without any has the centre everywhere. With
     ``top_share``, the mean of that share of the best scores is added as ``topk``.
     """
     s = F.when(F.col("keep"), F.col("score"))
-    agg = [F.count(s).alias("n"), F.avg(s).alias("mean"), F.max(s).alias("top"), F.percentile(s, F.lit(0.75)).alias("q75")]
+    if points is None:
+        agg = [F.count(s).alias("n"), F.avg(s).alias("mean"), F.max(s).alias("top"), F.percentile(s, F.lit(0.75)).alias("q75")]
+    else:
+        n = F.sum(F.when(F.col("keep"), F.col(points)))
+        agg = [F.coalesce(n, F.lit(0)).alias("n"), (F.sum(s * F.col(points)) / n).alias("mean"), F.max(s).alias("top"), F.percentile(s, F.lit(0.75), F.col(points)).alias("q75")]
     stats = samples.groupBy(*KEY).agg(*agg)
     if top_share is not None:
         w = Window.partitionBy(*KEY)

@@ -48,9 +48,11 @@ def lifted(points: DataFrame, raster: DataFrame, terms: DataFrame, priors: DataF
     at = nodes.select("frame_id", "sp_id", F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
     mids = project.footprint(project.with_projection(at, **protocol.camera), w, h)
     terms = small(terms)
-    samples = project.sample_pixels(seen.crossJoin(terms), raster, protocol.terms_key)
+    # points of a segment in one pixel have one score a term: pixels meet terms, not points
+    pixels = seen.groupBy("frame_id", "sp_id", "keep", "row", "col").agg(F.count(F.lit(1)).alias("points"))
+    samples = project.sample_pixels(pixels.crossJoin(terms), raster, protocol.terms_key)
     centers = project.sample_pixels(mids.crossJoin(terms), raster, protocol.terms_key).withColumnRenamed("score", "center")
-    stats = lifting.evidence_stats(samples, centers.select("frame_id", "sp_id", "term", "term_idx", "center"))
+    stats = lifting.evidence_stats(samples, centers.select("frame_id", "sp_id", "term", "term_idx", "center"), points="points")
     # eight decimals: ranks and ties do not follow the order in which sums were taken
     stats = stats.withColumns({c: F.rint(F.col(c) * 1e8) / 1e8 for c in ("center", "mean", "q75", "top")})
     return own, written(lifting.equal_rank(lifting.lift(stats), priors), "evidence"), lifting.footprint_validity(seen)
