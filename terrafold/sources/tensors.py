@@ -52,6 +52,8 @@ class _Reader(pickle.Unpickler):
 
 def read_tensor(raw: bytes, key: str | None = None) -> np.ndarray:
     """The tensor of a file, or the one under ``key`` of a dict."""
+    if not zipfile.is_zipfile(io.BytesIO(raw)):
+        raise ValueError("not a tensor file")
     with zipfile.ZipFile(io.BytesIO(raw)) as archive:
         index = next((n for n in archive.namelist() if n.endswith("/data.pkl")), None)
         if index is None:

@@ -17,9 +17,10 @@ def test_point_files(spark, tmp_path):
     got = readers.points_binary(spark, str(tmp_path)).collect()
     assert len(got) == 6 and all(r["v"] == m[r["point_id"]].tolist() for r in got)
     (tmp_path / "x").mkdir()
-    (tmp_path / "x/c.pt").write_bytes(b"1234")
-    with pytest.raises(Exception, match="not a point file"):
-        readers.points_binary(spark, str(tmp_path / "x")).collect()
+    for name, message in (("c.pt", "not a tensor file"), ("d.xyz", "not a point file")):
+        (tmp_path / "x" / name).write_bytes(b"1234")
+        with pytest.raises(Exception, match=message):
+            readers.points_binary(spark, str(tmp_path / "x" / name)).collect()
     (tmp_path / "t").mkdir()
     (tmp_path / "t/l.txt").write_text("1 2  3\n4\t5 6\n\n")
     assert [r["v"] for r in readers.points_text(spark, str(tmp_path / "t")).orderBy("point_id").collect()] == [[1, 2, 3], [4, 5, 6]]
