@@ -347,8 +347,8 @@ def keep_one(docs: DataFrame, percent: int = 80, width: int = WIDTH) -> DataFram
     do rows without a ``doc_id``, which are linked with nothing.
     """
     kept = near_duplicates(docs, percent, width).where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("m"))
-    packed = docs.select(F.col("doc_id").alias("kept_id"), F.col("text").alias("t"), F.struct(*docs.columns).alias("row"))
+    packed = docs.select(F.col("doc_id").alias("kept_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     held = packed.where("kept_id IS NOT NULL").join(kept, "kept_id")
     once = held.where("m = 1").select("row")
-    again = held.where("m > 1").groupBy("kept_id", "t").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    again = held.where("m > 1").groupBy("kept_id", F.col("row.text").alias("t")).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
     return once.unionByName(again).unionByName(packed.where("kept_id IS NULL").select("row")).select("row.*")
