@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _ALONE = "぀-ヿ㐀-䶿一-鿿가-힯"
-_RUN = rf"[^\x20\x09-\x0D{_ALONE}]"
+#: A code point of a run: neither white space nor alone. As ranges, the commonest first, for Java tries a negated class range by range at each code point.
+_RUN = "[!-\u303F\u3100-\u33FF\u4DC0-\u4DFF\uA000-\uABFF\uD7B0-\U0010FFFF\\x00-\\x08\\x0E-\\x1F]"
 #: A code point with so many of its run before or behind it starts a unit of its own.
 REACH = 16
 #: Group 1 is the unit, the match how far to go. The last branch never matches; it makes Java's look-behind count code points.
@@ -111,6 +112,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(shared / union)
 
 
+def _constants(values: list, kind: str) -> Column:
+    """One constant array of numbers: a literal for each would be a call to the JVM and a node of the plan apiece."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def with_next(docs: DataFrame, carry: tuple[str, ...] = ("text",), rows_per_group: int = 512, most_groups: int = 65536) -> DataFrame:
     """Add ``next_<column>`` of the next document by ``doc_id`` (after the last: the first) for every column of ``carry``.
 
@@ -123,19 +129,18 @@ def with_next(docs: DataFrame, carry: tuple[str, ...] = ("text",), rows_per_grou
     groups = max(1, min(most_groups, n // rows_per_group))
     bounds = [low]
     if groups > 1:
-        at = [i / groups for i in range(1, groups)]
+        at = _constants([i / groups for i in range(1, groups)], "double")
         found = docs.agg(F.percentile_approx("doc_id", at, min(10_000_000, 20 * groups))).first()[0]
         bounds = sorted({low, *found})
     if n == 0:
         bounds = [0]
     width = ceil(sqrt(len(bounds)))
-    parts = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    top = F.array(*[F.lit(p[0]).cast("bigint") for p in parts])
-    own = F.array(*[F.array(*[F.lit(b).cast("bigint") for b in p]) for p in parts])
+    top, every = _constants(bounds[::width], "bigint"), _constants(bounds, "bigint")
+    own = lambda part: F.slice(every, (part - 1) * width + 1, F.lit(width))
     docs = docs.withColumn("top_range", F.greatest(F.size(F.filter(top, lambda b: b <= F.col("doc_id"))), F.lit(1)))
-    docs = docs.withColumn("own_range", (F.col("top_range") - 1) * width + F.greatest(F.size(F.filter(F.element_at(own, F.col("top_range")), lambda b: b <= F.col("doc_id"))), F.lit(1)))
+    docs = docs.withColumn("own_range", (F.col("top_range") - 1) * width + F.greatest(F.size(F.filter(own(F.col("top_range")), lambda b: b <= F.col("doc_id"))), F.lit(1)))
     docs = docs.withColumn("own_range", F.when(F.col("doc_id").isNull(), 1).otherwise(F.col("own_range"))).drop("top_range")
-    starts = F.array_contains(F.element_at(own, F.ceil(F.col("own_range") / width).cast("int")), F.col("doc_id"))
+    starts = F.array_contains(own(F.ceil(F.col("own_range") / width).cast("int")), F.col("doc_id"))
     before = F.when(F.col("own_range") == 1, len(bounds)).otherwise(F.col("own_range") - 1)
     copies = F.when(starts, F.array(F.struct(F.col("own_range").alias("r"), F.lit(False).alias("mark")), F.struct(before.alias("r"), F.lit(True).alias("mark")))).otherwise(F.array(F.struct(F.col("own_range").alias("r"), F.lit(False).alias("mark"))))
     rows = docs.select("doc_id", *carry, F.explode(copies).alias("c")).select("doc_id", *carry, "c.r", "c.mark")
