@@ -38,9 +38,11 @@ def bilinear(points: DataFrame, raster: DataFrame, keys: list[str], value: str =
     """Bilinear samples at (u, v), corners aligned, zero outside and for invalid points: (.., point_id, value)."""
     u0, v0 = F.floor("u"), F.floor("v")
     near = F.array(*[F.struct((v0 + dy).cast("int").alias("row"), (u0 + dx).cast("int").alias("col"), (F.abs(1 - dx - (F.col("u") - u0)) * F.abs(1 - dy - (F.col("v") - v0))).alias("w")) for dx in (0, 1) for dy in (0, 1)])
-    ends = points.select(FRAME, "point_id", "valid", F.explode(near).alias("e")).select(FRAME, "point_id", "valid", "e.*")
-    hit = ends.join(raster.select(*keys, "row", "col", value), [*keys, "row", "col"], "left")
-    return hit.groupBy(FRAME, "point_id").agg(F.sum(F.when(F.col("valid"), F.col("w") * F.coalesce(value, F.lit(0.0))).otherwise(0.0)).alias(value))
+    # only valid points have pixels: others may lie beyond what an integer holds, and meet no raster
+    ends = points.where("valid").select(FRAME, "point_id", F.explode(near).alias("e")).select(FRAME, "point_id", "e.*")
+    hit = ends.join(raster.select(*keys, "row", "col", value), [*keys, "row", "col"], "left").select(FRAME, "point_id", F.coalesce(F.col("w") * F.col(value), F.lit(0.0)).alias(value))
+    rest = points.where(~F.coalesce("valid", F.lit(False))).select(FRAME, "point_id", F.lit(0.0).alias(value))
+    return hit.unionByName(rest).groupBy(FRAME, "point_id").agg(F.sum(value).alias(value))
 
 
 def fuse_views(views: DataFrame, value: str = "score") -> DataFrame:

@@ -28,3 +28,11 @@ def test_range_join_broadcasts_no_exploded_points(spark):
         if d[0][0] <= 1.0:
             want[r["point_id"]] = (d[0][1], round(d[0][0], 9))
     assert want and {r["point_id"]: (r["site_id"], round(r["dist"], 9)) for r in df.collect()} == want
+
+
+def test_bilinear_samples_ignore_pixels_beyond_integers(spark):
+    rows = [("f", 1, 0.5, 0.25, True), ("f", 2, -4e11, 7e12, False), ("f", 3, 1.0, 1.0, None), ("f", 1, 5e15, 0.0, False)]
+    points = spark.createDataFrame(rows, "frame_id string, point_id int, u double, v double, valid boolean")
+    raster = spark.createDataFrame([(0, 0, 4.0), (0, 1, 8.0), (1, 0, 2.0)], "row int, col int, score double")
+    got = {r["point_id"]: r["score"] for r in project.bilinear(points, raster, []).collect()}
+    assert got == {1: 0.75 * (0.5 * 4 + 0.5 * 8) + 0.25 * 0.5 * 2, 2: 0.0, 3: 0.0}
