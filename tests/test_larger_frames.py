@@ -36,3 +36,29 @@ def test_bilinear_samples_ignore_pixels_beyond_integers(spark):
     raster = spark.createDataFrame([(0, 0, 4.0), (0, 1, 8.0), (1, 0, 2.0)], "row int, col int, score double")
     got = {r["point_id"]: r["score"] for r in project.bilinear(points, raster, []).collect()}
     assert got == {1: 0.75 * (0.5 * 4 + 0.5 * 8) + 0.25 * 0.5 * 2, 2: 0.0, 3: 0.0}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_interval_counts_group_only_shared_ids(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(frames, "small", lambda df: df)
+    r = random.Random(5)
+    points = [(r.choice([None, 900, 901, *range(30)]) if i < 40 else i, r.choice([None, r.uniform(-20, 20)])) for i in range(120)]
+    spans = [(r.choice([None, *range(9)]), a := r.choice([None, r.uniform(-20, 20)]), None if a is None else a + r.choice([0, 0.5, 3, 11])) for _ in range(50)] * 2
+    df = frames.interval_counts(spark.createDataFrame(points, "i int, x double"), spark.createDataFrame(spans, "j int, a double, b double"), "x", "a", "b", 2.0, "i", "j")
+    want = {}
+    for i, x in points:
+        for j, a, b in spans:
+            if x is not None and a is not None and a <= x < b:
+                want[i, j] = want.get((i, j), 0) + 1
+    rows = [tuple(p) for p in df.collect()]
+    assert len(rows) == len(want) and {(i, j): n for i, j, n in rows} == want
+
+
+def test_interval_pairs_of_single_ids_are_not_shuffled(spark):
+    e = spark.range(4000).select("id", (F.col("id") % 200).cast("double").alias("x"))
+    s = spark.range(300).select(F.col("id").alias("j"), (F.col("id") % 190).cast("double").alias("a"), (F.col("id") % 190 + 9).cast("double").alias("b"))
+    df = frames.interval_counts(e, s, "x", "a", "b", 4.0, "id", "j")
+    assert df.count() > 40_000
+    top, _, rest = plan(df).partition("Union")
+    assert "Exchange" not in top and rest
