@@ -62,3 +62,31 @@ def test_interval_pairs_of_single_ids_are_not_shuffled(spark):
     assert df.count() > 40_000
     top, _, rest = plan(df).partition("Union")
     assert "Exchange" not in top and rest
+
+
+def test_neighbours_are_exact_and_meet_few_positions(monkeypatch):
+    r = np.random.default_rng(2)
+    for at in (r.random((500, 3)) * [40, 5, 3], np.floor(r.random((500, 3)) * [9, 3, 2]), np.zeros((300, 3))):
+        ids = r.permutation(2 * len(at))[: len(at)]
+        at[3] = np.nan
+        d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2))
+        d[np.eye(len(at), dtype=bool)] = np.inf
+        want = [(i, int(ids[j])) for i in range(len(at)) for j in np.lexsort((ids, d[i]))[:8] if np.isfinite(d[i, j])]
+        row, dst, _ = geometry.nearest(ids, at, ids, at, 8)
+        assert list(zip(row.tolist(), dst.tolist(), strict=True)) == want
+    met, distances, per_segment = [], geometry._distances, []
+    monkeypatch.setattr(geometry, "_distances", lambda a, b: met.append(len(a) * len(b)) or distances(a, b))
+    for n in (5_000, 20_000):
+        at, ids = r.random((n, 3)) * [3, n / 100, 3], np.arange(n)
+        met.clear()
+        assert len(geometry.nearest(ids, at, ids, at, 8)[0]) == 8 * n
+        per_segment.append(sum(met) / n)
+    assert per_segment[1] < min(3000, 1.5 * per_segment[0])
+
+
+def test_neighbours_by_slabs_are_those_of_one_task(spark):
+    r = random.Random(6)
+    rows = [(f"f{i % 2}", i, float(r.randint(0, 40)), float(r.randint(0, 3)), r.choice([0.0, 0.0, 1.5])) for i in range(400)] + [("g", i, 1.0, 1.0, float(i % 2)) for i in range(30)] + [("h", 0, 0.0, 0.0, 0.0)]
+    nodes = spark.createDataFrame(rows, "frame_id string, sp_id bigint, cx double, cy double, cz double")
+    key = lambda df: sorted(tuple(x) for x in df.collect())
+    assert key(geometry.knn_edges(nodes, 5, most=20)) == key(geometry.knn_edges(nodes, 5))
