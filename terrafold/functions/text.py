@@ -21,9 +21,15 @@ def simple_clean(c: Column) -> Column:
     return _squeezed(F.regexp_replace(F.lower(c), "[_-]", " "))
 
 
+def _kept(c: Column, bad: str) -> Column:
+    """Runs of ``bad`` characters and of spaces as one space, where all white space but the space is bad: most words are parted by one
+    space already and need no replacement."""
+    return F.regexp_replace(F.regexp_replace(c, f"{bad}+", " "), " {2,}", " ")
+
+
 def clean_text(c: Column) -> Column:
     """As ``simple_clean``, keeping only ``a-z0-9 /,;``."""
-    return _squeezed(F.regexp_replace(F.regexp_replace(F.lower(F.btrim(c)), "[_-]", " "), "[^a-z0-9 /,;]+", " "))
+    return F.btrim(_kept(F.lower(F.btrim(c)), "[^a-z0-9 /,;]"))
 
 
 def _stages(items: Column, *steps) -> Column:
@@ -38,7 +44,7 @@ def _single(value: Column, *steps) -> Column:
 
 
 def _with_last(term: Column) -> Column:
-    return F.struct(term.alias("term"), F.regexp_extract(term, r"([^ ]*)$", 1).alias("last"))
+    return F.struct(term.alias("term"), F.substring_index(term, " ", -1).alias("last"))
 
 
 def _singular(s: Column) -> Column:
@@ -57,8 +63,7 @@ def singular(term: Column) -> Column:
 
 
 def _open_steps() -> list:
-    low = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "_", " "), "[^a-z0-9 -]+", " ")
-    return [lambda c: F.btrim(_squeezed(low(c)), F.lit(" -")), _with_last, _singular, lambda t: F.when(t.isin(*CLEAN_STOP), "").otherwise(t)]
+    return [lambda c: F.btrim(_kept(F.lower(c), "[^a-z0-9 -]"), F.lit(" -")), _with_last, _singular, lambda t: F.when(t.isin(*CLEAN_STOP), "").otherwise(t)]
 
 
 def clean_open_term(c: Column) -> Column:

@@ -146,3 +146,19 @@ def test_sparse_spectra_are_those_of_the_dense_matrix(apart):
     # equal eigenvalues have no basis of their own: the spans are compared, null vectors with the whole null space
     basis = all_vectors[:, want < want[5] + 1e-9]
     assert np.abs(np.linalg.norm(basis.T @ vectors, axis=0) - 1).max() < 1e-6 and np.abs(vectors.T @ vectors - np.eye(6)).max() < 1e-6
+
+
+def test_cleaning_replaces_no_single_spaces(spark):
+    import re
+
+    from terrafold.functions import text
+
+    texts = ["", "  ", "a_b-c", "-x -", "Flies\n", "A B\tc  d\r\n e/f,;", "__--__", "long terms of some  words", " a b", "The Roofs_", "- - ies", "glass; 3 cars"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.clean_open_term(F.col("t")).alias("open"), text.clean_text(F.col("t")).alias("clean"))
+    assert "regexp_extract" not in plan(df) and "\\s+" not in plan(df)
+    for r in df.collect():
+        assert r["clean"] == re.sub(r"\s+", " ", re.sub("[^a-z0-9 /,;]+", " ", re.sub("[_-]", " ", r["t"].strip(" ").lower()))).strip(" ")
+        low = re.sub(r"\s+", " ", re.sub("[^a-z0-9 -]+", " ", r["t"].lower().replace("_", " "))).strip(" -")
+        last = low.rpartition(" ")[2]
+        one = low[:-3] + "y" if last.endswith("ies") and len(last) > 4 else low[:-1] if last.endswith("s") and not last.endswith("ss") and len(last) > 3 else low
+        assert r["open"] in (one, "")
